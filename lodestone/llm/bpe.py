@@ -284,7 +284,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(offsets: np.ndarray, most: int = 6_000_000) -> Iterator[tuple[int, int]]:
+def portions(offsets: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes, one text at least."""
     at = 0
     while at < len(offsets) - 1:

@@ -138,7 +138,7 @@ def _triples(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(triples), pa.array(counts)], names=["triple", "n"])
 
 
-def train(triples: np.ndarray, counts: np.ndarray, size: int = 32, noise: int = 12, batch: int = 2048, steps: int = 2500, seed: int = 7) -> np.ndarray:
+def train(triples: np.ndarray, counts: np.ndarray, size: int = 32, noise: int = 12, batch: int = 1024, steps: int = 2500, seed: int = 7) -> np.ndarray:
     """Noise-contrastive estimation of the log-bilinear model; returns its normalised
     log10 probabilities, contexts by classes, as float32."""
 
@@ -152,19 +152,19 @@ def train(triples: np.ndarray, counts: np.ndarray, size: int = 32, noise: int =
     two, one, target = triples // CLASSES**2, triples // CLASSES % CLASSES, triples % CLASSES
     unigram = np.bincount(target, counts, minlength=CLASSES) + 0.5
     unigram /= unigram.sum()
-    log_noise = np.log(noise * unigram)
-    r = rng.normal(0, 0.1, (2, CLASSES, size))  # context vectors by position, as combined by their matrices
-    q = rng.normal(0, 0.1, (CLASSES, size))
-    b = np.log(unigram)
+    log_noise = np.log(noise * unigram).astype(np.float32)
+    r = rng.normal(0, 0.1, (2, CLASSES, size)).astype(np.float32)  # context vectors by position, as combined by their matrices
+    q = rng.normal(0, 0.1, (CLASSES, size)).astype(np.float32)
+    b = np.log(unigram).astype(np.float32)
     params = [r, q, b]
     sums = [np.full_like(p, 1e-6) for p in params]
     if total:
-        table = np.cumsum(counts) / total
+        table, share = np.cumsum(counts) / total, np.cumsum(unigram)
         for step in range(steps):
             rate = 0.15 * (1 - step / steps) + 0.002
             pick = np.minimum(np.searchsorted(table, rng.random(batch)), len(triples) - 1)
             c2, c1, w = two[pick], one[pick], target[pick]
-            z = np.minimum(np.searchsorted(np.cumsum(unigram), rng.random(noise * 8)), CLASSES - 1)  # shared by the batch
+            z = np.minimum(np.searchsorted(share, rng.random(noise * 8)), CLASSES - 1)  # shared by the batch
             context = r[0, c2] + r[1, c1]
             true = (context * q[w]).sum(1) + b[w] - log_noise[w]
             false = context @ q[z].T + b[z] - log_noise[z]
