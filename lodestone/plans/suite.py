@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from . import language  # noqa: F401
+from . import evaluation, language, linking, records  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
