@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 from itertools import islice
@@ -35,6 +36,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def packed_items(items: list[tuple[int, int]]) -> bytes:
+    return array("q", [node << 21 | before + 1 for node, before in items]).tobytes()
+
+
+def items_of(state: bytes) -> list[tuple[int, int]]:
+    return [(x >> 21, (x & 0x1FFFFF) - 1) for x in array("q", state)]
+
+
 class Transducer:
     """Encodes strings of symbols (0 to 511) by merges.
 
@@ -43,7 +52,7 @@ class Transducer:
     ``merged(a, b)`` its result. Every token must be what the merges make of its symbols.
     """
 
-    def __init__(self, symbols_of: dict[int, tuple[int, ...]], merge_rank: Callable, merged: Callable, most_states: int = 600_000, lookahead: int = 4096):
+    def __init__(self, symbols_of: dict[int, tuple[int, ...]], merge_rank: Callable, merged: Callable, most_states: int = 400_000, lookahead: int = 4096):
         self.merge_rank, self.merged = merge_rank, merged
         self.symbols_of = symbols_of
         self.single = {s[0]: t for t, s in symbols_of.items() if len(s) == 1}
@@ -64,19 +73,20 @@ class Transducer:
             self.length_of[token] = len(symbols)
         self.most_states = most_states
         self.lookahead = max(lookahead, 4 * max(self.depth))
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.histories: dict[int, tuple | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, int] = {}  # a state is its items: (node, token before it)
-        self.kept: list[tuple] = []
+        # a state is its items, each a node and the token before it, packed into bytes
+        self.states: dict[bytes, int] = {}
+        self.kept: list[bytes] = []
         self.moves: dict[int, int] = {}  # state and symbol -> state and token, packed
         self.sorted_keys = np.zeros(0, np.int64)  # the moves again, for whole arrays
         self.sorted_moves = np.zeros(0, np.int64)
-        self.start = self._state(((0, -1),))
+        self.start = self._state(packed_items([(0, -1)]))
 
-    def _state(self, items: tuple) -> int:
+    def _state(self, items: bytes) -> int:
         at = self.states.setdefault(items, len(self.kept))
         if at == len(self.kept):
             self.kept.append(items)
@@ -103,11 +113,12 @@ class Transducer:
         """Whether the merges of the two tokens' joint symbols give back the two: whether
         no merge over their border has its turn while each is being built. before = -1:
         the piece starts here."""
-        known = self.follows.get((before, token))
+        key = before + 1 << 20 | token
+        known = self.follows.get(key)
         if known is None:
             if len(self.follows) > self.most_states:
                 self.follows.clear()
-            known = self.follows[before, token] = self._stay_apart(before, token)
+            known = self.follows[key] = self._stay_apart(before, token)
         return known
 
     def _stay_apart(self, before: int, token: int) -> bool:
@@ -130,7 +141,7 @@ class Transducer:
 
     def _move(self, state: int, symbol: int) -> int:
         live, ended = [], None
-        for node, before in self.kept[state]:
+        for node, before in items_of(self.kept[state]):
             to = self.children[node].get(symbol)
             if to is None:
                 continue
@@ -141,7 +152,7 @@ class Transducer:
                 live.append((to, before))
         if ended is None:
             raise ValueError("no token ends here: the vocabulary is not closed under its merges")
-        move = self._state((*sorted(live), (0, ended))) << 32 | ended
+        move = self._state(packed_items([*sorted(live), (0, ended)])) << 32 | ended
         self.moves[state << 9 | symbol] = move
         return move
 
@@ -176,7 +187,7 @@ class Transducer:
 
     def _agreed(self, state: int, last: list[int]) -> int:
         """Up to where the live items' tokens are the same: the last place that all pass."""
-        at = {len(last) - self.depth[node] for node, _ in self.kept[state]}
+        at = {len(last) - self.depth[node] for node, _ in items_of(self.kept[state])}
         while len(at) > 1:
             most = max(at)
             at.remove(most)
@@ -284,7 +295,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(offsets: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def portions(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` bytes, one text at least."""
     at = 0
     while at < len(offsets) - 1:

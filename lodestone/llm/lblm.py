@@ -188,6 +188,14 @@ def train(triples: np.ndarray, counts: np.ndarray, size: int = 32, noise: int =
     return out
 
 
+def _trained(triples: np.ndarray, counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The table of ``train`` in parts; as a task it keeps to the threads of a worker."""
+    for batch in batches:
+        if batch.num_rows:
+            for i, part in enumerate(np.array_split(train(triples, counts), CLASSES)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "log_p"])
+
+
 def _scored(vocabulary: Vocabulary, table, within: np.ndarray, n: int, v: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text with what its frequent words give, and one for each text and
     other word. ``within``: for each vocabulary word, log10 of its share of its class."""
@@ -223,7 +231,7 @@ def _scored(vocabulary: Vocabulary, table, within: np.ndarray, n: int, v: int, b
             )
 
 
-def score_texts(docs: DataFrame, training: DataFrame, frequent: int = 1 << 17) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, frequent: int = 1 << 16) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs,
     by counts and a model of all rows of ``training``.
 
@@ -241,30 +249,34 @@ def score_texts(docs: DataFrame, training: DataFrame, frequent: int = 1 << 17) -
         F.count("*").alias("types"), F.sum("n").alias("n"), F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")
     ).collect()  # one row for each form
     n, v = sum(r["n"] for r in facts) + n_docs, sum(r["types"] for r in facts) + (1 if n_docs else 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    raw = [r["word"].encode("utf-8", "surrogatepass") for r in top]
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    top_n, top_form = top["n"].to_numpy(), top["form"].to_numpy()
+    raw = [w.encode("utf-8", "surrogatepass") for w in top["word"].to_pylist()]
     flat, lengths = np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw], np.int64)
     starts = np.r_[0, np.cumsum(lengths)][:-1].astype(np.int64)
-    hashes, n_top = hashes_of(flat, starts, lengths) if raw else np.zeros(0, np.uint64), np.array([r["n"] for r in top], np.int64)
-    classes = np.array([i if i < OWN else r["form"] for i, r in enumerate(top)], np.int64)
+    hashes, n_top = hashes_of(flat, starts, lengths) if raw else np.zeros(0, np.uint64), top_n.astype(np.int64)
+    classes = np.where(np.arange(len(raw)) < OWN, np.arange(len(raw)), top_form).astype(np.int64)
     order = np.argsort(hashes)
     vocabulary = Vocabulary(hashes[order], n_top[order], classes[order])
     # what a class's words, without those of their own class, have in all
     types, total, once, twice = (np.zeros(CLASSES) for _ in range(4))
     for r in facts:
         types[r["form"]], total[r["form"]], once[r["form"]], twice[r["form"]] = r["types"], r["n"], r["once"], r["twice"]
-    for r in top[:OWN]:
-        types[r["form"]] -= 1
-        total[r["form"]] -= r["n"]
-        once[r["form"]] -= r["n"] == 1
-        twice[r["form"]] -= r["n"] == 2
+    for form, k in zip(top_form[:OWN].tolist(), top_n[:OWN].tolist()):
+        types[form] -= 1
+        total[form] -= k
+        once[form] -= k == 1
+        twice[form] -= k == 2
     discount = np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95)
     unseen = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
     alone = vocabulary.classes < OWN
     within = np.where(alone, 0.0, np.log10(np.maximum(vocabulary.counts - discount[vocabulary.classes], 1e-9) / np.maximum(total[vocabulary.classes], 1)))
-    triples = map_arrow(texts, partial(_triples, vocabulary), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect()  # at most CLASSES ** 3
-    triples.sort()
-    table = spark.sparkContext.broadcast(train(np.array([r["triple"] for r in triples], np.int64), np.array([r["n"] for r in triples], np.int64)))
+    triples = map_arrow(texts, partial(_triples, vocabulary), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 rows
+    kinds, times = triples["triple"].to_numpy(), triples["n"].to_numpy()
+    order = np.argsort(kinds)
+    rows = map_arrow(spark.range(1), partial(_trained, kinds[order], times[order]), "part int, log_p binary").collect()
+    log_p = np.frombuffer(b"".join(bytes(r["log_p"]) for r in sorted(rows, key=lambda r: r["part"])), np.float32)
+    table = spark.sparkContext.broadcast(log_p.reshape(-1, CLASSES))  # CLASSES ** 3 numbers at any input size
     keyed = text_of(docs, "doc_id").select(F.monotonically_increasing_id().alias("key"), "doc_id", "_text")
     rows = map_arrow(
         keyed, partial(_scored, vocabulary, table, within, n, v),
