@@ -25,7 +25,7 @@ KINDS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:\x20[0-9]{4}){2}\x20[0-9]{1,4}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,4}|[0-9]{4}\x20[0-9]{6}\x20[0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
 }
 NUMBERS = rf"(?<![A-Za-z0-9])(?:(?=[0-9+(])(?:{'|'.join(KINDS[k] for k in ('date', 'ssn', 'ip', 'phone', 'card'))})|{KINDS['iban']})"
 ANY = rf"{KINDS['email']}|{NUMBERS}"
