@@ -384,7 +384,7 @@ class Binder:
         start = state.df.select(col(f"{a}__id").alias(f"{v}__near"), col(f"{a}__label").alias(f"{v}__nearlabel")).distinct()
         level = start.select("*", col(f"{v}__near").alias(f"{v}__far"), col(f"{v}__nearlabel").alias(f"{v}__farlabel"), F.array().cast("array<string>").alias(f"{v}__ids"))
         found = [level] if low == 0 else []
-        for k in range(1, (high or self.most_hops) + 1):
+        for k in range(1, (self.most_hops if high is None else high) + 1):
             met = level.join(hop, (level[f"`{v}__far`"] == hop["_h__near"]) & (level[f"`{v}__farlabel`"] == hop["_h__nearlabel"]))
             level = met.where(~F.array_contains(f"{v}__ids", F.col("_h"))).select(
                 f"{v}__near", f"{v}__nearlabel", F.col("_h__far").alias(f"{v}__far"), F.col("_h__farlabel").alias(f"{v}__farlabel"), F.array_append(f"{v}__ids", F.col("_h")).alias(f"{v}__ids")
@@ -437,7 +437,7 @@ class Binder:
         ends = df.select(col(f"{a}__id").alias("_s"), col(f"{a}__label").alias("_sl"), col(f"{b}__id").alias("_t"), col(f"{b}__label").alias("_tl")).distinct()
         level = ends.select("_s", "_sl").distinct().select("*", F.col("_s").alias("_t"), F.col("_sl").alias("_tl"), F.lit(1).cast("long").alias("_n"), F.lit(0).cast("long").alias("_d"))
         met = level
-        for k in range(1, (high or self.most_hops) + 1):
+        for k in range(1, (self.most_hops if high is None else high) + 1):
             step = level.join(hop, (level["_t"] == hop["_h__near"]) & (level["_tl"] == hop["_h__nearlabel"]))
             step = step.groupBy("_s", "_sl", F.col("_h__far").alias("_t"), F.col("_h__farlabel").alias("_tl")).agg(F.sum("_n").alias("_n"))
             level = self.cut(step.join(met.select("_s", "_sl", "_t", "_tl"), ["_s", "_sl", "_t", "_tl"], "left_anti").withColumn("_d", F.lit(k).cast("long")))

@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def osa_distance(a: str, b: str) -> int:
@@ -47,7 +48,7 @@ def jaro_winkler_similarity(a: str, b: str, weight: float = 0.1) -> float:
     return jaro + prefix * weight * (1 - jaro)
 
 
-def _vectorised(fn, kind: str):
+def _vectorised(fn, kind: T.DataType):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         memo: dict = {}
         out = []
@@ -63,9 +64,9 @@ def _vectorised(fn, kind: str):
     return F.pandas_udf(run, kind)
 
 
-osa = _vectorised(osa_distance, "long")
-jaro_winkler = _vectorised(jaro_winkler_similarity, "double")
-ratio = _vectorised(lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), "double")
+osa = _vectorised(osa_distance, T.LongType())
+jaro_winkler = _vectorised(jaro_winkler_similarity, T.DoubleType())
+ratio = _vectorised(lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), T.DoubleType())
 
 
 def word_occurrences(text: str, part: str) -> list[tuple[int, int]]:
@@ -103,4 +104,4 @@ def _splice(text: pd.Series, part: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([None if None in (t, p, n) else spliced(t, p, n) for t, p, n in zip(text, part, new)])
 
 
-splice = F.pandas_udf(_splice, "string")
+splice = F.pandas_udf(_splice, T.StringType())

@@ -15,7 +15,7 @@ def wilson(k: Column, n: Column, z: float = 1.96, clamp: bool = True) -> Column:
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / d
     low, high = mid - half, mid + half
     if clamp:
-        return F.struct(F.greatest(low, F.lit(0.0)).alias("low"), F.least(high, F.lit(1.0)).alias("high"))
+        return F.struct(F.when(n > 0, F.greatest(low, F.lit(0.0))).alias("low"), F.when(n > 0, F.least(high, F.lit(1.0))).alias("high"))
     return F.struct(F.coalesce(low, F.lit(0.0)).alias("low"), F.coalesce(high, F.lit(0.0)).alias("high"))
 
 

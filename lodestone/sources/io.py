@@ -49,8 +49,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, malformed lines) of JSON-lines files; a folder is all its shards."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return df.where("_corrupt_record is null").drop("_corrupt_record"), df.where("_corrupt_record is not null").select("_corrupt_record")
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r")).select("r.*")
+    return parsed.where("_corrupt_record is null").drop("_corrupt_record"), parsed.where("_corrupt_record is not null").select("_corrupt_record")
 
 
 def write_records(df: DataFrame, path: str) -> None:
