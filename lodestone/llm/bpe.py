@@ -57,18 +57,21 @@ class Transducer:
         self.symbols_of = symbols_of
         self.single = {s[0]: t for t, s in symbols_of.items() if len(s) == 1}
         self.length_of = np.zeros(max(symbols_of) + 1, np.int32)
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}  # of the trie: node and symbol -> node
+        self.inner = bytearray(1)  # whether a node has children
         self.token_at: list[int | None] = [None]
-        self.depth: list[int] = [0]
+        self.depth = array("l", [0])
         for token, symbols in symbols_of.items():
             node = 0
             for b in symbols:
-                if b not in self.children[node]:
-                    self.children[node][b] = len(self.children)
-                    self.children.append({})
+                to = self.child.get(node << 9 | b)
+                if to is None:
+                    to = self.child[node << 9 | b] = len(self.token_at)
+                    self.inner[node] = 1
+                    self.inner.append(0)
                     self.token_at.append(None)
                     self.depth.append(self.depth[node] + 1)
-                node = self.children[node][b]
+                node = to
             self.token_at[node] = token
             self.length_of[token] = len(symbols)
         self.most_states = most_states
@@ -142,13 +145,13 @@ class Transducer:
     def _move(self, state: int, symbol: int) -> int:
         live, ended = [], None
         for node, before in items_of(self.kept[state]):
-            to = self.children[node].get(symbol)
+            to = self.child.get(node << 9 | symbol)
             if to is None:
                 continue
             token = self.token_at[to]
             if token is not None and ended is None and self.may_follow(before, token):
                 ended = token
-            if self.children[to]:
+            if self.inner[to]:
                 live.append((to, before))
         if ended is None:
             raise ValueError("no token ends here: the vocabulary is not closed under its merges")

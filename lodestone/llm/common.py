@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +43,30 @@ def process_cache() -> dict:
     return sys.modules[name].__dict__
 
 
+#: Rows of a batch between the JVM and Python: texts are long, so it holds fewer than usual.
+BATCH_ROWS = 1500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _returned_memory(fn, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A worker serves many tasks: what one has freed goes back to the system."""
+    try:
+        yield from fn(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow with a bounded worker memory. It lowers the session's rows per Arrow
+    batch to BATCH_ROWS if they are more."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(partial(_returned_memory, fn), schema)
 
 
 def text_of(df: DataFrame, *ids: str) -> DataFrame:
