@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _powers, portions, ragged, text_bytes
-from .common import bucket_of, cut, map_arrow, text_of
+from .common import bucket_of, cut, map_arrow, process_cache, text_of
 
 OWN = 95  # words with a class of their own
 FORMS = 96  # classes of other words: alphabet (4) x case (2) x mark (6) x length (2)
@@ -139,8 +139,7 @@ def _triples(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Itera
 
 
 def train(triples: np.ndarray, counts: np.ndarray, size: int = 32, noise: int = 12, batch: int = 1024, steps: int = 2500, seed: int = 7) -> np.ndarray:
-    """Noise-contrastive estimation of the log-bilinear model; returns its normalised
-    log10 probabilities, contexts by classes, as float32."""
+    """Noise-contrastive estimation of the log-bilinear model; returns its weights."""
 
     def sums_by(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
         one_hot = np.zeros((CLASSES, len(rows)), np.float32)
@@ -179,8 +178,17 @@ def train(triples: np.ndarray, counts: np.ndarray, size: int = 32, noise: int =
                 s *= 0.999
                 s += g * g
                 p += rate * g / np.sqrt(s + 1e-10) * 0.1
+    return np.concatenate([r.ravel(), q.ravel(), b]).astype(np.float32)
+
+
+def table_of(weights: np.ndarray) -> np.ndarray:
+    """The model's normalised log10 probabilities, contexts by classes: for all contexts
+    with one word before, a matrix product."""
+    size = (len(weights) - CLASSES) // (3 * CLASSES)
+    r, q, b = np.split(weights.astype(np.float64), [2 * CLASSES * size, 3 * CLASSES * size])
+    r, q = r.reshape(2, CLASSES, size), q.reshape(CLASSES, size)
     out = np.empty((CLASSES * CLASSES, CLASSES), np.float32)
-    for c in range(CLASSES):  # all contexts with one word before: a matrix product
+    for c in range(CLASSES):
         logits = (r[0] + r[1, c]) @ q.T + b
         top = logits.max(1, keepdims=True)
         logits -= top + np.log(np.exp(logits - top).sum(1, keepdims=True))
@@ -188,18 +196,25 @@ def train(triples: np.ndarray, counts: np.ndarray, size: int = 32, noise: int =
     return out
 
 
+def shared_table(weights: np.ndarray) -> np.ndarray:
+    """One for each process and model."""
+    cache, key = process_cache(), weights.tobytes()
+    if cache.get("lblm key") != key:
+        cache["lblm key"], cache["lblm"] = key, table_of(weights)
+    return cache["lblm"]
+
+
 def _trained(triples: np.ndarray, counts: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The table of ``train`` in parts; as a task it keeps to the threads of a worker."""
+    """The weights of ``train``; as a task it keeps to the threads of a worker."""
     for batch in batches:
         if batch.num_rows:
-            for i, part in enumerate(np.array_split(train(triples, counts), CLASSES)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "log_p"])
+            yield pa.RecordBatch.from_arrays([pa.array([train(triples, counts).tobytes()], pa.binary())], names=["weights"])
 
 
-def _scored(vocabulary: Vocabulary, table, within: np.ndarray, n: int, v: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(vocabulary: Vocabulary, weights: np.ndarray, within: np.ndarray, n: int, v: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text with what its frequent words give, and one for each text and
     other word. ``within``: for each vocabulary word, log10 of its share of its class."""
-    log_p = table.value
+    log_p = shared_table(weights)
     base_of = np.log10((vocabulary.counts + 1) / (n + v + 1))
     for batch in batches:
         data, offsets = text_bytes(batch.column(batch.num_columns - 1))
@@ -274,12 +289,11 @@ def score_texts(docs: DataFrame, training: DataFrame, frequent: int = 1 << 16) -
     triples = map_arrow(texts, partial(_triples, vocabulary), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 rows
     kinds, times = triples["triple"].to_numpy(), triples["n"].to_numpy()
     order = np.argsort(kinds)
-    rows = map_arrow(spark.range(1), partial(_trained, kinds[order], times[order]), "part int, log_p binary").collect()
-    log_p = np.frombuffer(b"".join(bytes(r["log_p"]) for r in sorted(rows, key=lambda r: r["part"])), np.float32)
-    table = spark.sparkContext.broadcast(log_p.reshape(-1, CLASSES))  # CLASSES ** 3 numbers at any input size
+    made = map_arrow(spark.range(1), partial(_trained, kinds[order], times[order]), "weights binary").first()
+    weights = np.frombuffer(bytes(made["weights"]), np.float32)
     keyed = text_of(docs, "doc_id").select(F.monotonically_increasing_id().alias("key"), "doc_id", "_text")
     rows = map_arrow(
-        keyed, partial(_scored, vocabulary, table, within, n, v),
+        keyed, partial(_scored, vocabulary, weights, within, n, v),
         f"key long, word string, times long, form int, doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base double, score double",
     )
     per_form = lambda values: F.get(F.array(*[F.lit(float(x)) for x in values[OWN:END]]), F.col("form") - OWN)
