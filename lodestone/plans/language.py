@@ -51,8 +51,8 @@ graph_query("optional_match", "MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->
             "SELECT c_name AS name, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 GROUP BY c_custkey, c_name")
 graph_query("exists_semi", "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(o:Order) WHERE o.priority = '1-URGENT' } RETURN c.name AS name",
             "SELECT c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
-graph_query("not_exists_anti", "MATCH (p:Part) WHERE NOT EXISTS { (p)<-[:CONTAINS {returnflag:'R'}]-(:Order) } RETURN p.name AS name, p.size AS size",
-            "SELECT p_name AS name, p_size AS size FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+graph_query("not_exists_anti", "MATCH (p:Part) WHERE NOT EXISTS { (p)<-[:CONTAINS {returnflag:'R', linenumber: 7}]-(:Order) } RETURN p.name AS name, p.size AS size",
+            "SELECT p_name AS name, p_size AS size FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_linenumber = 7)")
 graph_query("pattern_predicate", "MATCH (n:Nation) WHERE (n)<-[:BASED_IN]-(:Supplier) AND NOT (n)-[:IN_REGION]->(:Region {name:'ASIA'}) RETURN n.name AS name",
             "SELECT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' AND n_nationkey IN (SELECT s_nationkey FROM supplier)")
 graph_query("exists_or", "MATCH (n:Nation) WHERE n.name = 'NATION_0' OR EXISTS { (n)<-[:BASED_IN]-(:Supplier WHERE 1 = 1) } RETURN n.name AS name",
