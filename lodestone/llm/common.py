@@ -78,8 +78,3 @@ def text_of(df: DataFrame, *ids: str) -> DataFrame:
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
-
-
-def dealt(df: DataFrame, parts_per_core: int = 2) -> DataFrame:
-    """Rows spread evenly over at least every core, for inputs that come as few files."""
-    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism * parts_per_core))
