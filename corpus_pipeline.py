@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import langid, packing, pii, simhash, toxicity
+from lodestone.llm import langid, packing, pii, similar, toxicity
 from lodestone.llm.common import cut, ensure_checkpoint_dir, read_table
 from lodestone.llm.queries import vocabulary_path
 
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the smallest id stays; of rows
     that share this id, one."""
     docs = _with_text(docs)
-    groups = cut(simhash.near_duplicate_groups(docs, words=5, max_distance=4))
+    groups = cut(similar.similar_groups(docs, words=5, similarity=0.8, max_distance=4))
     first = groups.where("doc_id <=> component_id").groupBy("doc_id").count()
     kept = docs.join(first.select("doc_id"), docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
     return kept if first.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])

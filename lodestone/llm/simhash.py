@@ -11,7 +11,7 @@ held against the Manhattan bound, then verified exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -28,19 +28,26 @@ GROUPS = 8
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str, words: int) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of ``text``, repeats included."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, and the six ASCII spaces
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, and the six ASCII spaces
+
+
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """Unsigned XXH64 of each shingle, repeats included; fewer words: of the whole sequence."""
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
+    digest = xxhash.xxh64_intdigest
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([digest(joined, 42)], np.uint64)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(found) - words + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: each bit that is set in over half the hashes (none: 0)."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255 * 64):  # counts of up to 255 rows fit a byte
         some = np.unpackbits(hashes[at : at + 255 * 64].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -50,6 +57,11 @@ def fingerprint(text: str, words: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, words: int) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of ``text``, repeats included."""
+    return majority(shingle_hashes(_words(text), words))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
@@ -192,13 +204,17 @@ def near_duplicate_groups(docs: DataFrame, words: int = 4, max_distance: int = 4
     neighbour has one. An empty table gives no rows; other columns are ignored.
     """
     prints = cut(fingerprints(docs, words))
+    return _grouped(prints, lambda firsts: fingerprint_links(firsts, max_distance, dense))
+
+
+def _grouped(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) by links between the fingerprints of ``prints``."""
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = fingerprint_links(firsts.select("fp"), max_distance, dense)
-    roots = cut(connected_components(links))
+    roots = cut(connected_components(links(firsts.select("fp"))))
     heads = roots.join(firsts, roots.node == firsts.fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = roots.join(heads, "root").select(F.col("node").alias("fp"), "component_id")
     ids = firsts.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return prints.select("doc_id", "fp").join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
