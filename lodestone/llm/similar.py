@@ -107,50 +107,67 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-class _Verifier:
-    """Exact Jaccard similarity of pairs (a, b) of nodes."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, similarity: float):
-        self.docs, self.classes, self.words, self.similarity = docs, classes, words, similarity
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, hashes): the set of shingles of each of ``nodes``, by one of its documents."""
-        ids = self.classes.join(nodes.distinct(), "node", "left_semi").select("rep")
-        texts = self.docs.join(ids, self.docs.doc_id.eqNullSafe(ids.rep), "left_semi")
-        made = map_arrow(text_of(texts), partial(_sets, words=self.words), "node long, hashes array<long>")
-        return cut(made.groupBy("node").agg(F.first("hashes").alias("hashes")))
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-        met = pairs.join(left, "a").join(right, "b").where(
-            F.least(F.size("x"), F.size("y")) >= F.lit(self.similarity) * F.greatest(F.size("x"), F.size("y"))
-        )
-        both = F.size(F.array_intersect("x", "y"))
-        return cut(met.where(both >= F.lit(self.similarity) * (F.size("x") + F.size("y") - both)).select("a", "b"))
-
-
-def similar_links(classes: DataFrame, verifier: _Verifier, dense: int = 32, rounds: int = 8) -> DataFrame:
+#: Up to so many pairs are sent to all tasks (16 bytes each), so that sets of shingles stay where they are.
+SMALL_PAIRS = 100_000
+
+
+def shingle_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the set of shingles of each of ``nodes``, by one of its documents."""
+    ids = classes.join(nodes.distinct(), "node", "left_semi").select("rep")
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    made = map_arrow(text_of(texts), partial(_sets, words=words), "node long, hashes array<long>")
+    return cut(made.groupBy("node").agg(F.first("hashes").alias("hashes")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have this Jaccard similarity or more."""
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    if pairs.count() <= SMALL_PAIRS:
+        met = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        met = pairs.join(left, "a").join(right, "b")
+    x, y, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    alike = met.where(F.least(x, y) >= F.lit(similarity) * F.greatest(x, y))
+    return cut(alike.where(both >= F.lit(similarity) * (x + y - both)).select("a", "b"))
+
+
+def _met(rows: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (node, cell): the pairs (a, b) within cells of up to ``dense`` members, and
+    the rows of the others."""
+    dealt = rows.select("cell", "node").repartition("cell").sortWithinPartitions("cell", "node")
+    found = cut(map_arrow(dealt, partial(_cell_pairs, dense=dense), "a long, b long, cell long"))
+    return cut(_ordered(found.where("a <> b"), "a", "b")), found.where("a = b").select(F.col("a").alias("node"), "cell").distinct()
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, dense: int = 32, rounds: int = 2) -> DataFrame:
     """(a, b): pairs of nodes in one cell and of the similarity asked for.
 
     Of a crowded cell all pairs would be too many. Its members are held against the one
-    that is in most crowded cells (of many copies of a text, the text itself); those that
-    aren't similar to it go on to the next round, with another to be held against.
+    that is in most crowded cells (of many copies of a text, the text itself). Those that
+    aren't similar to it meet again where they share another band too, which keeps pairs of
+    the similarity together (all but 1 in 9,000) and parts those that share a passage. What
+    is crowded even there is held against up to ``rounds`` members.
     """
-    rows = classes.select(F.explode("cells").alias("cell"), "node").repartition("cell").sortWithinPartitions("cell", "node")
-    found = cut(map_arrow(rows, partial(_cell_pairs, dense=dense), "a long, b long, cell long"))
-    links = verifier.near(_ordered(found.where("a <> b"), "a", "b"))
-    crowded = found.where("a = b").select(F.col("a").alias("node"), "cell").distinct()
-    for _ in range(rounds):
-        if crowded.isEmpty():
-            break
-        seen = crowded.groupBy("node").count()
-        heads = crowded.join(seen, "node").groupBy("cell").agg(F.max(F.struct("count", "node")).alias("m")).select("cell", F.col("m.node").alias("head"))
-        star = cut(crowded.join(heads, "cell").where("node <> head"))
-        near = verifier.near(_ordered(star, "node", "head"))
-        links = links.union(near)
-        met = near.union(near.select("b", "a")).toDF("node", "head")
-        crowded = cut(star.join(met, ["node", "head"], "left_anti").select("node", "cell"))
+    cells = classes.select("node", F.explode("cells").alias("cell"))
+    pairs, crowded = _met(cells, dense)
+    members = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node"))
+    sets = shingle_sets(docs, classes, members, words)
+    links = verified(pairs, sets, similarity)
+    for finer in (False, True):
+        if finer:
+            twice = crowded.join(cells.toDF("node", "other"), "node").where("cell <> other")
+            pairs, crowded = _met(twice.select("node", F.xxhash64(F.least("cell", "other"), F.greatest("cell", "other")).alias("cell")).distinct(), dense)
+            links = links.union(verified(pairs, sets, similarity))
+        for _ in range(rounds):
+            if crowded.isEmpty():
+                return links
+            seen = crowded.groupBy("node").count()
+            heads = crowded.join(seen, "node").groupBy("cell").agg(F.max(F.struct("count", "node")).alias("m")).select("cell", F.col("m.node").alias("head"))
+            star = cut(crowded.join(heads, "cell").where("node <> head"))
+            near = verified(cut(_ordered(star, "node", "head")), sets, similarity)
+            links = links.union(near)
+            met = near.union(near.select("b", "a")).toDF("node", "head")
+            crowded = cut(star.join(met, ["node", "head"], "left_anti").select("node", "cell"))
     return links
 
 
@@ -166,7 +183,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     id_type = dict(docs.dtypes)["doc_id"]
     prints = cut(map_arrow(text_of(docs, "doc_id"), partial(_sketched, words=words), f"doc_id {id_type}, fp long, node long, cells array<long>"))
     classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
-    near = similar_links(classes, _Verifier(docs, classes, words, similarity), dense)
+    near = similar_links(docs, classes, words, similarity, dense)
     of = classes.select("node", "fp")
     by_print = near.join(of.toDF("a", "p"), "a").join(of.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     return _grouped(prints, lambda firsts: fingerprint_links(firsts, max_distance).union(by_print.where("a <> b")).distinct())
