@@ -9,6 +9,7 @@ components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, text_of
+from .components import connected_components
 from .simhash import _grouped, _words, fingerprint_links, majority, shingle_hashes
 
 #: A pair of similarity 0.8 shares none of 24 bands of five with a probability of 7e-5.
@@ -139,36 +141,79 @@ def _met(rows: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
     return cut(_ordered(found.where("a <> b"), "a", "b")), found.where("a = b").select(F.col("a").alias("node"), "cell").distinct()
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, dense: int = 32, rounds: int = 2) -> DataFrame:
-    """(a, b): pairs of nodes in one cell and of the similarity asked for.
+#: Shingles that a sample of crowded texts shows to be common; they only set an order.
+COMMON, SAMPLE = 16_384, 20_000
+
 
-    Of a crowded cell all pairs would be too many. Its members are held against the one
-    that is in most crowded cells (of many copies of a text, the text itself). Those that
-    aren't similar to it meet again where they share another band too, which keeps pairs of
-    the similarity together (all but 1 in 9,000) and parts those that share a passage. What
-    is crowded even there is held against up to ``rounds`` members.
+def _prefixes(batches: Iterator[pa.RecordBatch], similarity: float, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(token, node, root, size): of each set the shingles that come first, rarest first. Two
+    sets of the similarity share ceil(similarity * size) shingles at least, so they share one
+    of these, whatever the order is."""
+    for batch in batches:
+        nodes, roots = (np.asarray(batch.column(i)) for i in (0, 1))
+        for node, root, value in zip(nodes, roots, batch.column(2)):
+            tokens = np.asarray(value.values)
+            at = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
+            often = np.where(common[at] == tokens, counts[at], 0) if len(common) else np.zeros(len(tokens), np.int64)
+            n = len(tokens)
+            first = tokens[np.lexsort((tokens, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+            same = [pa.array(np.full(len(first), x, np.int64)) for x in (node, root, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(first), *same], names=["token", "node", "root", "size"])
+
+
+def prefix_pairs(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): of the nodes of ``sets`` all pairs that ``links`` don't connect yet and that can
+    have the similarity by their sizes and first shingles. None is left out, so after they
+    are verified the components are those of all pairs.
+
+    Of a shingle's holders those in its most frequent component aren't paired with each
+    other; copies of one text are connected before and cost nothing here.
+    """
+    roots = connected_components(links)
+    rooted = cut(sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "hashes"))
+    share = min(1.0, SAMPLE / max(1, rooted.count()))
+    drawn = rooted.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < share * (1 << 30))
+    often = drawn.select(F.explode("hashes").alias("token")).groupBy("token").count().where("count > 2")
+    top = sorted((r["token"], r["count"]) for r in often.orderBy(F.desc("count")).limit(COMMON).collect())
+    common, counts = (np.array([r[i] for r in top], np.int64) for i in (0, 1))
+    made = partial(_prefixes, similarity=similarity, common=common, counts=counts)
+    rows = cut(map_arrow(rooted, made, "token long, node long, root long, size long").repartition("token"))
+    parts = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts"))
+    mixed = cut(rows.join(parts.where("parts > 1").select("token", F.col("m.root").alias("most")), "token"))
+    few = mixed.where("root <> most").select("token", F.col("node").alias("a"), F.col("root").alias("p"), F.col("size").alias("m"))
+    every = mixed.select("token", F.col("node").alias("b"), F.col("root").alias("q"), F.col("size").alias("n"))
+    fit = (F.col("p") != F.col("q")) & (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n"))
+    return cut(_ordered(few.join(every, "token").where(fit), "a", "b"))
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, dense: int = 32, rounds: int = 2) -> DataFrame:
+    """(a, b): links that connect the same nodes as all pairs do that are in one cell and of
+    the similarity asked for.
+
+    Of a crowded cell all pairs would be too many. Its members are held against up to
+    ``rounds`` heads, each the one in most crowded cells (of many copies of a text, the text
+    itself), which connects copies at little cost and rules out nothing. Then every member of
+    a crowded cell, linked or not, is held against all those in other components that it can
+    be similar to (``prefix_pairs``).
     """
     cells = classes.select("node", F.explode("cells").alias("cell"))
     pairs, crowded = _met(cells, dense)
-    members = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowded.select("node"))
-    sets = shingle_sets(docs, classes, members, words)
+    inside = cut(crowded.select("node").distinct())
+    sets = shingle_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(inside), words)
     links = verified(pairs, sets, similarity)
-    for finer in (False, True):
-        if finer:
-            twice = crowded.join(cells.toDF("node", "other"), "node").where("cell <> other")
-            pairs, crowded = _met(twice.select("node", F.xxhash64(F.least("cell", "other"), F.greatest("cell", "other")).alias("cell")).distinct(), dense)
-            links = links.union(verified(pairs, sets, similarity))
-        for _ in range(rounds):
-            if crowded.isEmpty():
-                return links
-            seen = crowded.groupBy("node").count()
-            heads = crowded.join(seen, "node").groupBy("cell").agg(F.max(F.struct("count", "node")).alias("m")).select("cell", F.col("m.node").alias("head"))
-            star = cut(crowded.join(heads, "cell").where("node <> head"))
-            near = verified(cut(_ordered(star, "node", "head")), sets, similarity)
-            links = links.union(near)
-            met = near.union(near.select("b", "a")).toDF("node", "head")
-            crowded = cut(star.join(met, ["node", "head"], "left_anti").select("node", "cell"))
-    return links
+    if inside.isEmpty():
+        return links
+    for _ in range(rounds):
+        if crowded.isEmpty():
+            break
+        seen = crowded.groupBy("node").count()
+        heads = crowded.join(seen, "node").groupBy("cell").agg(F.max(F.struct("count", "node")).alias("m")).select("cell", F.col("m.node").alias("head"))
+        star = cut(crowded.join(heads, "cell").where("node <> head"))
+        near = verified(cut(_ordered(star, "node", "head")), sets, similarity)
+        links = links.union(near)
+        met = near.union(near.select("b", "a")).toDF("node", "head")
+        crowded = cut(star.join(met, ["node", "head"], "left_anti").select("node", "cell"))
+    return links.union(verified(prefix_pairs(sets.join(inside, "node", "left_semi"), links, similarity), sets, similarity))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 4, dense: int = 32) -> DataFrame:

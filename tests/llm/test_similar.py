@@ -75,3 +75,42 @@ def test_awkward_tables(spark):
     of = {r.doc_id: r.component_id for r in rows}
     assert of[4] == 3 and of[1] == of[2] == of[11] == 0 and of[6] == 6
     assert similar.similar_groups(empty(spark)).count() == 0
+
+
+def _edges(spark, texts):
+    """Links of similar_links by row, and the sets of shingles."""
+    from functools import partial
+
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    prints = similar.map_arrow(similar.text_of(docs, "doc_id"), partial(similar._sketched, words=5), "doc_id long, fp long, node long, cells array<long>")
+    classes = similar.cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
+    of = {r.node: r.rep for r in classes.collect()}
+    return [(of[r.a], of[r.b]) for r in similar.similar_links(docs, classes, 5, 0.8).collect()], [_shingles(t) for t in texts]
+
+
+def _parts(n, edges):
+    root = list(range(n))
+    for a, b in edges:
+        root = [root[a] if r == root[b] else r for r in root]
+    return {frozenset(i for i in range(n) if root[i] == x) for x in set(root)}
+
+
+def _all_pairs(sets):
+    return [(a, b) for b in range(len(sets)) for a in range(b) if _similarity(sets[a], sets[b]) >= 0.8]
+
+
+def test_pairs_among_texts_that_share_a_passage(spark):
+    """Texts of one long passage crowd each other's cells; only the two of a family are similar."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage = words(108)
+    texts = []
+    for _ in range(250):
+        shared = words(5)
+        texts += [" ".join(passage + shared + words(13)) for _ in range(2)]
+    got, sets = _edges(spark, texts)
+    want = _all_pairs(sets)
+    assert len(want) == 250
+    assert _parts(len(texts), got) == _parts(len(texts), want)
