@@ -114,3 +114,22 @@ def test_pairs_among_texts_that_share_a_passage(spark):
     want = _all_pairs(sets)
     assert len(want) == 250
     assert _parts(len(texts), got) == _parts(len(texts), want)
+
+
+def test_text_that_only_a_linked_copy_is_similar_to(spark):
+    """A head, variants of it, and texts within 0.8 of a variant but not of the head."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 10**9)}"
+
+    def changed(base, places):
+        return [word() if i in places else w for i, w in enumerate(base)]
+
+    head = [word() for _ in range(504)]
+    variants = [changed(head, rng.sample(range(504), 2)) for _ in range(60)]
+    far = [changed(v, range(at, at + 49)) for v, at in zip(variants[:45], range(0, 450, 10))]
+    texts = [" ".join(x) for x in [head, *variants, *far]]
+    got, sets = _edges(spark, texts)
+    want = _all_pairs(sets)
+    only = [i for i in range(61, len(texts)) if _similarity(sets[0], sets[i]) < 0.8 and any(i in w for w in want)]
+    assert len(only) > 5
+    assert _parts(len(texts), got) == _parts(len(texts), want)
