@@ -36,12 +36,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; of rows
-    that share this id, one."""
+    that share this id or have none, the one with the least key of its text. Rows of other
+    groups stay, whatever their ids."""
     docs = _with_text(docs)
-    groups = cut(similar.similar_groups(docs, words=5, similarity=0.8, max_distance=4))
-    first = groups.where("doc_id <=> component_id").groupBy("doc_id").count()
-    kept = docs.join(first.select("doc_id"), docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    return kept if first.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    first = cut(similar.first_of_groups(docs, words=5, similarity=0.8, max_distance=4)).withColumnRenamed("doc_id", "first_id")
+    keyed = docs.withColumn("_key", similar.text_key())
+    same = keyed.doc_id.eqNullSafe(F.col("first_id")) & (F.col("_key") == F.col("key"))
+    kept = keyed.join(first, same, "left_semi")
+    again = first.where("rows > 1")
+    if not again.isEmpty():  # rows with the same id and text
+        kept = keyed.join(first.where("rows = 1"), same, "left_semi").union(keyed.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"]))
+    return kept.drop("_key")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

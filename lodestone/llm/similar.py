@@ -10,13 +10,13 @@ components.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, text_of
@@ -47,14 +47,14 @@ def _text_key(found: list[bytes]) -> int:
 def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints, keys, cells = [], [], []
-        for value in batch.column(1):
+        for value in batch.column(batch.num_columns - 1):
             found = _words(value.as_py())
             hashes = shingle_hashes(found, words)
             prints.append(majority(hashes))
             keys.append(_text_key(found))
             cells.append(band_keys(np.unique(hashes)))
         signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, keys)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *signed, pa.array(cells, pa.list_(pa.int64()))], names=["doc_id", "fp", "node", "cells"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *signed, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "fp", "node", "cells"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -109,14 +109,26 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def text_key() -> Column:
+    """A key of the row's text; null is read as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def node_classes(prints: DataFrame) -> DataFrame:
+    """(node, rep, fp, cells) of each different text; rep is the row that gives it, by doc_id
+    and key, as ids may be null or shared."""
+    return cut(prints.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
+
+
 #: Up to so many pairs are sent to all tasks (16 bytes each), so that sets of shingles stay where they are.
 SMALL_PAIRS = 100_000
 
 
 def shingle_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, hashes): the set of shingles of each of ``nodes``, by one of its documents."""
-    ids = classes.join(nodes.distinct(), "node", "left_semi").select("rep")
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    ids = classes.join(nodes.distinct(), "node", "left_semi").select("rep.doc_id", "rep.key").toDF("rep_id", "rep_key")
+    keyed = docs.select("doc_id", "text", text_key().alias("key"))
+    texts = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")), "left_semi")
     made = map_arrow(text_of(texts), partial(_sets, words=words), "node long, hashes array<long>")
     return cut(made.groupBy("node").agg(F.first("hashes").alias("hashes")))
 
@@ -216,6 +228,19 @@ def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: f
     return links.union(verified(prefix_pairs(sets.join(inside, "node", "left_semi"), links, similarity), sets, similarity))
 
 
+def _linked(docs: DataFrame, words: int, similarity: float, max_distance: int, dense: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(doc_id, key, fp) of every row, and what gives the links between fingerprints. Rows
+    with the same doc_id and key hold the same text."""
+    id_type = dict(docs.dtypes)["doc_id"]
+    keyed = text_of(docs.withColumn("key", text_key()), "doc_id", "key")
+    prints = cut(map_arrow(keyed, partial(_sketched, words=words), f"doc_id {id_type}, key long, fp long, node long, cells array<long>"))
+    classes = node_classes(prints)
+    near = similar_links(docs, classes, words, similarity, dense)
+    of = classes.select("node", "fp")
+    by_print = near.join(of.toDF("a", "p"), "a").join(of.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    return prints.select("doc_id", "key", "fp"), lambda firsts: fingerprint_links(firsts, max_distance).union(by_print.where("a <> b")).distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 4, dense: int = 32) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
@@ -225,10 +250,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max
     without a word are linked to each other; repeated rows are kept; rows with a null
     doc_id are linked too. An empty table gives no rows; other columns are ignored.
     """
-    id_type = dict(docs.dtypes)["doc_id"]
-    prints = cut(map_arrow(text_of(docs, "doc_id"), partial(_sketched, words=words), f"doc_id {id_type}, fp long, node long, cells array<long>"))
-    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
-    near = similar_links(docs, classes, words, similarity, dense)
-    of = classes.select("node", "fp")
-    by_print = near.join(of.toDF("a", "p"), "a").join(of.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
-    return _grouped(prints, lambda firsts: fingerprint_links(firsts, max_distance).union(by_print.where("a <> b")).distinct())
+    return _grouped(*_linked(docs, words, similarity, max_distance, dense))
+
+
+def first_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_distance: int = 4, dense: int = 32) -> DataFrame:
+    """(doc_id, key, rows): of each group of ``similar_groups`` the row that comes first by
+    doc_id, nulls last, then by the key of its text; and how many rows have both. Groups are
+    told apart by their links alone, whatever ids are null or shared."""
+    prints, links = _linked(docs, words, similarity, max_distance, dense)
+    rows = prints.groupBy("fp", "doc_id", "key").count()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    firsts = cut(rows.groupBy("fp").agg(F.min(F.struct(order.alias("at"), "count")).alias("m")).select("fp", "m"))
+    roots = connected_components(links(firsts.select("fp")))
+    best = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("m").alias("m"))
+    return best.select("m.at.doc_id", "m.at.key", F.col("m.count").alias("rows"))

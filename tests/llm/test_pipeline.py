@@ -47,3 +47,22 @@ def test_stages(spark, tables):
     pieces = P.packed(spark, safe, folder)
     assert ids(pieces) == ids(safe)
     assert P.run(spark, folder).select("doc_id").distinct().count() == len(ids(safe))
+
+
+def test_null_and_shared_ids_are_no_duplicates(spark):
+    import random
+
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(60))
+    alone = [(None, text(), "en", "s", 1) for _ in range(20)] + [(5, text(), "en", "s", 1) for _ in range(3)]
+    twice = text()
+    copies = [(7, twice, "en", "s", 1), (7, twice, "en", "s", 1), (None, twice, "en", "s", 1)]
+    last = text()
+    nameless = [(None, last, "en", "s", 1), (None, last, "en", "s", 1)]
+    docs = spark.createDataFrame(alone + copies + nameless, SCHEMA)
+    kept = P.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(r[0], r[1]) for r in alone] + [(7, twice), (None, last)], key=str)

@@ -81,12 +81,11 @@ def _edges(spark, texts):
     """Links of similar_links by row, and the sets of shingles."""
     from functools import partial
 
-    from pyspark.sql import functions as F
-
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
-    prints = similar.map_arrow(similar.text_of(docs, "doc_id"), partial(similar._sketched, words=5), "doc_id long, fp long, node long, cells array<long>")
-    classes = similar.cut(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("cells").alias("cells")))
-    of = {r.node: r.rep for r in classes.collect()}
+    keyed = similar.text_of(docs.withColumn("key", similar.text_key()), "doc_id", "key")
+    prints = similar.map_arrow(keyed, partial(similar._sketched, words=5), "doc_id long, key long, fp long, node long, cells array<long>")
+    classes = similar.node_classes(prints)
+    of = {r.node: r.rep.doc_id for r in classes.collect()}
     return [(of[r.a], of[r.b]) for r in similar.similar_links(docs, classes, 5, 0.8).collect()], [_shingles(t) for t in texts]
 
 
