@@ -21,9 +21,13 @@ def _with_text(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no language: null, or without a letter."""
+    """Rejects texts in no language: null, or without a letter. That is all it rejects, also
+    where the table names no language to learn."""
     docs = _with_text(docs)
-    judged = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
+    model = langid.fit(docs)
+    if not model.families:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = langid.predict(docs, model, keep=tuple(docs.columns))
     return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import portions, text_bytes
-from .common import bucket_of, map_arrow, text_of
+from .common import bucket_of, cut, map_arrow, text_of
 
 UNKNOWN = "und"
 SIZE = 4096
@@ -148,19 +148,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 64) -> LanguageModel:
-    """A model of rows with text and lang. For training, about ``per_language`` rows of
-    each language are taken by a hash of their id and text, of the ``most_languages`` most
-    frequent ones; what comes to the driver is bounded by these two and SIZE. Rows
-    with null text or lang are left out; without any row the model knows no language."""
+    """A model of rows with text and lang, of every value of lang. For training, about
+    ``per_language`` rows of each language are taken by a hash of their id and text; with over
+    ``most_languages`` languages fewer of each, so that the sample does not grow with their
+    number (but 20 of each are taken). Rows with null text or lang are left out; without any
+    row the model knows no language."""
     known = docs.where("text is not null and lang is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("_rows")))
+    languages = counts.count()
+    if not languages:
         return LanguageModel()
-    share = F
-    for r in counts:
-        share = share.when(F.col("lang") == r["lang"], per_language / r["count"])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30)
-    rows = map_arrow(known.where(drawn).select("lang", "text"), _features, "lang string, x binary").collect()
+    each = max(min(per_language, 20), min(per_language, per_language * most_languages // languages))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(each)) / F.col("_rows") * float(1 << 30)
+    rows = map_arrow(known.join(F.broadcast(counts), "lang").where(drawn).select("lang", "text"), _features, "lang string, x binary").collect()
     if not rows:
         return LanguageModel()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))

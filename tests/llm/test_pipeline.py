@@ -66,3 +66,15 @@ def test_null_and_shared_ids_are_no_duplicates(spark):
     assert kept.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(r[0], r[1]) for r in alone] + [(7, twice), (None, last)], key=str)
+
+
+def test_every_language_is_learnt_and_none_is_no_reason(spark):
+    import corpus_pipeline as P
+    from lodestone.llm import langid
+
+    names = [f"x{i:02d}" for i in range(70)]
+    rows = [(i * 100 + k, f"{name}word " * 5, name, "s", 1) for i, name in enumerate(names) for k in range(2 if i == 69 else 3)]
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(n for own in model.members.values() for n in own) == names
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "123", None, "s", 1), (3, None, None, "s", 1)], SCHEMA)
+    assert [r.doc_id for r in P.language(spark, docs, "").collect()] == [1]
