@@ -318,6 +318,13 @@ def jaro_winkler(spark, sf):
     return rows.where(jaro >= 0.7 - 1e-9).select("a", "b", F.round("s", 4).alias("s"))
 
 
+@query("jaro_winkler_all")
+def jaro_winkler_all(spark, sf):
+    from ..functions.udf import jaro_winkler as jw
+
+    return pairs(spark, sf).select("a", "b", F.round(jw("a", "b"), 4).alias("s"))
+
+
 @query("osa_distance")
 def osa_distance(spark, sf):
     return pairs(spark, sf).select("a", "b", X.osa_distance(F.col("a"), F.col("b")).alias("d"))
@@ -328,11 +335,21 @@ def tokenise(spark, sf):
     return _texts(spark, sf).where(F.col("text").rlike(r"^[ -~\s]*$")).select("conv_id", "turn", F.array_join(X.words(F.col("text")), " ").alias("words"))
 
 
+@query("tokenise_all")
+def tokenise_all(spark, sf):
+    return _texts(spark, sf).select("conv_id", "turn", F.array_join(X.words(F.col("text")), " ").alias("words"))
+
+
 @query("collapse_space", "SELECT conv_id, turn, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS t FROM conversations WHERE regexp_full_match(text, '[ -~]*')")
 def collapse_space(spark, sf):
     return _texts(spark, sf).where(F.col("text").rlike(r"^[ -~]*$")).select("conv_id", "turn", X.collapsed(F.col("text")).alias("t"))
 
 
+@query("collapse_space_all")
+def collapse_space_all(spark, sf):
+    return _texts(spark, sf).select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")).alias("t"))
+
+
 @query("entity_typing", "SELECT * FROM (VALUES ('a.b@c.org', 'email'), ('12:30', 'time'), ('123-45-6789', 'id'), ('2001-02-03', 'date'), ('42', 'id'), ('SW1A 1', 'id'), ('Alice Smith', 'name')) t(value, type)")
 def entity_typing(spark, sf):
     df = spark.createDataFrame([(x,) for x in ("a.b@c.org", "12:30", "123-45-6789", "2001-02-03", "42", "SW1A 1", "Alice Smith")], "value string")

@@ -218,3 +218,20 @@ def test_oracles(spark, name):
     rows = sorted((tuple(plain(r[i]) for i in order) for r in want.fetchall()), key=repr)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in entry.queries()[name](spark, folder).collect()), key=repr)
     assert got == rows
+
+
+def test_text_queries_take_every_row(spark, tmp_path):
+    import re
+
+    from lodestone.functions import text as X
+    from lodestone.plans.suite import QUERIES
+
+    texts = [" \n Two\t words\r\n", "Größe  Ünï", "plain", None, ""]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([("abcd",), ("wxyz",), ("abdc",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.turn: r.t for r in QUERIES["collapse_space_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else " ".join(t.lower().split()) for i, t in enumerate(texts)}
+    got = {r.turn: r.words for r in QUERIES["tokenise_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else " ".join(w for w in re.findall(r"\w+", t.lower()) if w not in X.STOPWORDS) for i, t in enumerate(texts)}
+    got = {(r.a, r.b): r.s for r in QUERIES["jaro_winkler_all"](spark, str(tmp_path)).collect()}
+    assert got == {("abcd", "abdc"): round(11 / 12 + 2 * 0.1 * (1 - 11 / 12), 4), ("abcd", "wxyz"): 0.0, ("abdc", "wxyz"): 0.0}
