@@ -114,11 +114,12 @@ def lev_topk(values: DataFrame, mentions: DataFrame, k: int = 10, least: float =
 def vector_topk(index: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int = 4096) -> DataFrame:
     """Exact cosine top-k. index: (value, embedding), queries: (qid, embedding). Rows are
     dealt into blocks; queries go to every block, so pairs meet by an equi-join, and each
-    block keeps k for a query before they meet."""
+    block keeps k for a query before they meet. Of rows with one value the best counts."""
     blocks = max(1, math.ceil(index.count() / rows_per_block))
     right = index.select("value", F.col("embedding").alias("e"), F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("block"))
     left = queries.select("qid", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     scored = left.join(right, "block").select("qid", "block", "value", F.round(X.cosine(F.col("q"), F.col("e")), 6).alias("score"))
+    scored = scored.groupBy("qid", "block", "value").agg(F.max("score").alias("score"))
     order = Window.partitionBy("qid", "block").orderBy(F.desc("score"), "value")
     near = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return ranked(near.groupBy("qid", "value").agg(F.max("score").alias("score")), k)

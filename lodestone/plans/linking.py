@@ -195,6 +195,15 @@ def fcav_topk(spark, sf):
     return R.ranked(best, 15)
 
 
+@query("fcav_topk_50", """WITH s AS (SELECT q.vec_id AS qid, CAST(r.label AS VARCHAR) AS value, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score
+FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), m AS (SELECT qid, value, max(score) AS score FROM s GROUP BY 1, 2), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, value) AS INTEGER) AS rank FROM m)
+SELECT * FROM t WHERE rank <= 15""")
+def fcav_topk_50(spark, sf):
+    """As fcav_topk, of every id divisible by 50, in blocks."""
+    e = tables(spark, sf)("embeddings")
+    return R.vector_topk(e.select(F.col("label").cast("string").alias("value"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 15)
+
+
 @query("flatten_results", "SELECT qid, CAST(len(list_distinct(string_split(qid, ' '))) AS INTEGER) AS n FROM (SELECT DISTINCT p_name AS qid FROM part)")
 def flatten_results(spark, sf):
     return mentions(spark, sf).select("qid", F.size(G.collapsed_results(F.array(F.split("qid", " "), F.array(F.lit(None).cast("string")), F.split("qid", " ")))).alias("n"))

@@ -235,3 +235,8 @@ def test_text_queries_take_every_row(spark, tmp_path):
     assert got == {i: None if t is None else " ".join(w for w in re.findall(r"\w+", t.lower()) if w not in X.STOPWORDS) for i, t in enumerate(texts)}
     got = {(r.a, r.b): r.s for r in QUERIES["jaro_winkler_all"](spark, str(tmp_path)).collect()}
     assert got == {("abcd", "abdc"): round(11 / 12 + 2 * 0.1 * (1 - 11 / 12), 4), ("abcd", "wxyz"): 0.0, ("abdc", "wxyz"): 0.0}
+
+
+@pytest.mark.parametrize("name", ["fcav_topk_50", "cosine_topk"])
+def test_oracles_over_whole_tables(spark, name):
+    test_oracles(spark, name)
