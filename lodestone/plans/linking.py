@@ -218,6 +218,23 @@ def node_profile(spark, sf):
     return P.node_profile(trade_graph(spark, sf)).where("label in ('Region', 'Nation', 'Supplier', 'Customer')").drop("samples")
 
 
+NODE_PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{label}' AS label, '{prop}' AS prop, '{kind}' AS type, count(*) AS nodes, count({column}) AS non_null, round(100.0 * count({column}) / nullif(count(*), 0), 1) AS fill_pct FROM {table}"
+    for label, table, props in (
+        ("Region", "region", "name string r_name"), ("Nation", "nation", "name string n_name"), ("Supplier", "supplier", "name string s_name, acctbal double s_acctbal"),
+        ("Customer", "customer", "name string c_name, acctbal double c_acctbal, mktsegment string c_mktsegment"),
+        ("Part", "part", "name string p_name, brand string p_brand, type string p_type, size int p_size, retailprice double p_retailprice, words array<string> p_name"),
+        ("Order", "orders", "status string o_orderstatus, totalprice double o_totalprice, orderdate timestamp_ntz o_orderdate, priority string o_orderpriority"),
+    )
+    for prop, kind, column in (p.split() for p in props.split(", "))
+)
+
+
+@query("node_profile_all", NODE_PROFILE_SQL)
+def node_profile_all(spark, sf):
+    return P.node_profile(trade_graph(spark, sf)).drop("samples")
+
+
 @query("rel_profile", """SELECT 'IN_REGION' AS type, 'Nation' AS source, 'Region' AS target, CAST(NULL AS VARCHAR) AS prop, count(*) AS edges, CAST(0 AS BIGINT) AS non_null FROM nation
 UNION ALL SELECT 'PLACED', 'Customer', 'Order', 'at', count(*), count(o_orderdate) FROM orders UNION ALL SELECT 'SUPPLIED', 'Supplier', 'Order', 'quantity', count(*), count(l_quantity) FROM lineitem
 UNION ALL SELECT 'LOCATED_IN', 'Customer', 'Nation', NULL, count(*), 0 FROM customer UNION ALL SELECT 'LOCATED_IN', 'Supplier', 'Nation', NULL, count(*), 0 FROM supplier""")
@@ -225,6 +242,20 @@ def rel_profile(spark, sf):
     return P.rel_profile(trade_graph(spark, sf)).where("type in ('IN_REGION', 'PLACED', 'SUPPLIED', 'LOCATED_IN')")
 
 
+REL_PROFILE_SQL = """SELECT 'IN_REGION' AS type, 'Nation' AS source, 'Region' AS target, CAST(NULL AS VARCHAR) AS prop, count(*) AS edges, CAST(0 AS BIGINT) AS non_null FROM nation
+UNION ALL SELECT 'LIVES_IN', 'Customer', 'Nation', NULL, count(*), 0 FROM customer UNION ALL SELECT 'BASED_IN', 'Supplier', 'Nation', NULL, count(*), 0 FROM supplier
+UNION ALL SELECT 'LOCATED_IN', 'Customer', 'Nation', NULL, count(*), 0 FROM customer UNION ALL SELECT 'LOCATED_IN', 'Supplier', 'Nation', NULL, count(*), 0 FROM supplier
+UNION ALL SELECT 'PLACED', 'Customer', 'Order', 'at', count(*), count(o_orderdate) FROM orders UNION ALL SELECT 'SUPPLIED', 'Supplier', 'Order', 'quantity', count(*), count(l_quantity) FROM lineitem
+UNION ALL SELECT 'SUPPLIES', 'Supplier', 'Part', NULL, count(*), 0 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""" + "".join(
+    f" UNION ALL SELECT 'CONTAINS', 'Order', 'Part', '{p}', count(*), count(l_{p}) FROM lineitem" for p in ("quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus", "shipdate", "linenumber")
+)
+
+
+@query("rel_profile_all", REL_PROFILE_SQL)
+def rel_profile_all(spark, sf):
+    return P.rel_profile(trade_graph(spark, sf))
+
+
 @query("topology", """SELECT * FROM (VALUES ('Nation', 'IN_REGION', 'Region'), ('Customer', 'LIVES_IN', 'Nation'), ('Supplier', 'BASED_IN', 'Nation'), ('Customer', 'LOCATED_IN', 'Nation'), ('Supplier', 'LOCATED_IN', 'Nation'),
 ('Customer', 'PLACED', 'Order'), ('Order', 'CONTAINS', 'Part'), ('Supplier', 'SUPPLIED', 'Order'), ('Supplier', 'SUPPLIES', 'Part')) t(source, type, target)""")
 def topology(spark, sf):

@@ -237,6 +237,6 @@ def test_text_queries_take_every_row(spark, tmp_path):
     assert got == {("abcd", "abdc"): round(11 / 12 + 2 * 0.1 * (1 - 11 / 12), 4), ("abcd", "wxyz"): 0.0, ("abdc", "wxyz"): 0.0}
 
 
-@pytest.mark.parametrize("name", ["fcav_topk_50", "cosine_topk"])
+@pytest.mark.parametrize("name", ["fcav_topk_50", "cosine_topk", "node_profile_all", "rel_profile_all"])
 def test_oracles_over_whole_tables(spark, name):
     test_oracles(spark, name)
