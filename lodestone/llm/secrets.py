@@ -2,8 +2,9 @@
 
 A candidate is a run of characters of keys. By its characters it belongs to a class
 (hex, digits with letters, letters of both cases) with its own alphabet and threshold.
-A window slides over it; counts per character and the sum of c * log2(c) are carried
-along, each step adding the character that enters and taking away the one that leaves.
+A window slides over it; the counts of its characters, as digits of a string, and the
+sum of c * log2(c) are carried along: a step changes the two counts of the character that
+leaves and the one that enters.
 The entropy of a window of w is log2(w) - sum / w. A candidate whose highest window
 reaches its class's threshold is a span, unless it is on the allow list.
 """
@@ -30,40 +31,51 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[a-z+/_=-]*[A-Z0-9])[A-Za-z0-9+/_=-]{20,}"
 #: Candidates that are no secrets: UUIDs, paths and dated names, repeats, placeholders, ordered runs.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"^(?:/?[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$",
+    r"^(?:/?[A-Za-z]+[/_-])++[A-Za-z]*[0-9]{0,4}$",  # possessive: a loop, where a greedy group would be a recursion
     r"^[A-Za-z_-]+[0-9]{1,8}$",
     r"(.)\1{7,}",
     r"(?i)example|placeholder|dummy|changeme|xxxx|0123456789|1234567890|abcdefgh",
 )
 
 
+NONE = 0x20  # a count of 0 in the string of counts
+
+
 def window_entropy(value: Column, alphabet: str, window: int) -> Column:
-    """The highest Shannon entropy in bits of any ``window`` characters of ``value``, all
-    of ``alphabet``; of the whole value if it is shorter."""
+    """The highest Shannon entropy in bits of any ``window`` characters (94 at most) of
+    ``value``, all of ``alphabet``; of the whole value if it is shorter."""
+    if not 0 < window <= 0x7E - NONE:
+        raise ValueError(f"a window has 1 to {0x7E - NONE} characters")
     sums = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     chars = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(alphabet), c))
     size = F.length(value)
-
-    def at(counts: Column, k: Column) -> Column:
-        return F.get(counts, k - 1)
-
-    def step(acc: Column, i: Column) -> Column:
-        come = F.get(acc["chars"], i)
-        gone = F.when(i >= window, F.get(acc["chars"], i - window)).otherwise(F.lit(0))
-        counts = F.transform(acc["counts"], lambda c, k: c + (k + 1 == come).cast("int") - (k + 1 == gone).cast("int"))
-        up, down = at(acc["counts"], come), F.coalesce(at(acc["counts"], gone), F.lit(1))
-        change = F.get(sums, up + 1) - F.get(sums, up) + F.get(sums, down - 1) - F.get(sums, down)
+    gone = F.concat(F.array_repeat(F.lit(0), window), F.slice(chars, F.lit(1), F.greatest(size - window, F.lit(0))))
+    moves = F.zip_with(chars, F.slice(gone, F.lit(1), size), lambda c, g: F.struct(c.alias("come"), g.alias("gone")))
+
+    def count(counts: Column, k: Column) -> Column:
+        return F.ascii(F.substring(counts, k, F.lit(1))) - NONE
+
+    def put(counts: Column, k: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + NONE), k, F.lit(1))
+
+    def step(acc: Column, x: Column) -> Column:  # what it returns is copied at each step: nothing long may be carried along
+        come, gone, at = x["come"], x["gone"], acc["at"] + 1
+        leaves = (come != gone) & (gone > 0)
+        down = count(acc["counts"], F.greatest(gone, F.lit(1)))
+        left = F.when(leaves, put(acc["counts"], gone, down - 1)).otherwise(acc["counts"])
+        up = count(left, come)
+        counts = F.when(come == gone, acc["counts"]).otherwise(put(left, come, up + 1))
+        change = F.get(sums, up + 1) - F.get(sums, up) + F.when(leaves, F.get(sums, down - 1) - F.get(sums, down)).otherwise(0.0)
         total = acc["total"] + F.when(come == gone, F.lit(0.0)).otherwise(change)
-        full = F.least(i + 1, F.lit(window)).cast("double")
+        full = F.least(at, F.lit(window)).cast("double")
         entropy = F.log2(full) - total / full
-        counted = (i + 1 >= window) | (i + 1 == F.size(acc["chars"]))
-        best = F.when(counted & (entropy > acc["best"]), entropy).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"), acc["chars"].alias("chars"))
+        best = F.when(((at >= window) | (at == acc["size"])) & (entropy > acc["best"]), entropy).otherwise(acc["best"])
+        return F.struct(counts.alias("counts"), total.alias("total"), best.alias("best"), at.alias("at"), acc["size"].alias("size"))
 
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).cast("double").alias("total"), F.lit(0.0).cast("double").alias("best"), chars.alias("chars")
-    )
-    return F.aggregate(F.sequence(F.lit(0), size - 1), zero, step, lambda acc: acc["best"])
+        F.lit(chr(NONE) * len(alphabet)).alias("counts"), F.lit(0.0).cast("double").alias("total"), F.lit(0.0).cast("double").alias("best"), F.lit(0).alias("at"), size.alias("size")
+    )
+    return F.aggregate(moves, zero, step, lambda acc: acc["best"])
 
 
 def _suspicious(value: Column, window: int) -> Column:
