@@ -7,10 +7,26 @@ from pyspark.sql import functions as F
 
 #: Words without content.
 STOPWORDS = (
-    "a", "an", "the", "of", "in", "on", "at", "to", "for", "by", "with", "from", "and", "or", "is", "are",
-    "was", "were", "be", "as", "that", "this", "it", "its", "which", "who", "what", "where", "when", "how", "has", "have",
+    "the", "a", "an", "of", "and", "or", "but", "in", "on", "at", "to", "for", "is", "are", "was", "were", "be", "been", "being",
+    "by", "with", "from", "as", "into", "than", "that", "this", "it", "its", "their", "his", "her",
 )
 
+#: Patterns of entity types.
+EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+TIME = r"^\d{1,2}:\d{2}(:\d{2})?$"
+SSN = r"^\d{3}-\d{2}-\d{4}$"
+DATE = r"^\d{1,4}[-/]\d{1,2}([-/]\d{1,4})?$"
+SEPARATORS = r"[\s.\-/:]"
+POSTCODE = r"^[A-Za-z]{1,2}\d{1,2}[A-Za-z]?\s*\d?[A-Za-z]{0,2}$"
+
+#: Patterns of errors, whatever the case: of statements, and of what is around them.
+STATEMENT_ERROR = r"Cypher\w*Error|Neo\.ClientError\."
+INFRA_ERROR = (
+    r"example timeout|example stalled|APITimeoutError|transaction timeout|timed out|(?:Read|Write|Connect)?TimeoutError|(?:Read|Write|Connect)Timeout|"
+    r"RateLimit|rate limit|\b429\b|(?:error code|status(?: code)?|http)\W{0,3}5\d\d\b|ServiceUnavailable|SessionExpired|DatabaseUnavailable|Neo\.TransientError\.|"
+    r"InternalServerError|APIConnectionError|Connection(?:Error|Reset|Refused)|overloaded|watchdog"
+)
+
 
 def lev_similarity(a: Column, b: Column) -> Column:
     """1 - distance / longer length, of trimmed lower-case texts; both empty: 1."""
@@ -59,8 +75,8 @@ def word_set(s: Column) -> Column:
 
 
 def collapsed(s: Column) -> Column:
-    """Trimmed, lower-case, single spaces."""
-    return F.regexp_replace(F.lower(F.trim(s)), r"\s+", " ")
+    """Trimmed, lower-case, single spaces for white space of any kind."""
+    return F.trim(F.regexp_replace(F.lower(s), r"(?U)\s+", " "))
 
 
 def squeezed(s: Column) -> Column:
@@ -69,16 +85,13 @@ def squeezed(s: Column) -> Column:
 
 
 def entity_type(s: Column) -> Column:
-    """email, time, id, date or name; the first that fits, in this order."""
+    """email, time, date, id or name; the first that fits, of the trimmed text. Blank texts,
+    numbers with separators, and short codes with a digit are ids."""
+    t = F.regexp_replace(s, r"^(?U)\s+|\s+$", "")
     return (
-        F.when(s.rlike(r"^[\w.+-]+@[\w-]+\.[\w.-]+$"), "email")
-        .when(s.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), "time")
-        .when(s.rlike(r"^\d{3}-\d{2}-\d{4}$"), "id")
-        .when(s.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{1,2}/\d{1,2}/\d{2,4}$"), "date")
-        .when(s.rlike(r"^#?\d+$"), "id")
-        .when(s.rlike(r"^(?=.*\d)[A-Za-z0-9 ]+$") & (F.length(s) <= 8), "id")
-        .otherwise("name")
-    )
+        F.when(s.isNull(), None).when(t == "", "id").when(t.rlike(EMAIL), "email").when(t.rlike(TIME), "time").when(t.rlike(SSN), "id").when(t.rlike(DATE), "date")
+        .when(F.regexp_replace(t, SEPARATORS, "").rlike(r"^\d+$"), "id").when(t.rlike(POSTCODE) & t.rlike(r"\d") & (F.length(t) <= 8), "id").otherwise("name")
+    )
 
 
 def quoted_literals(s: Column, shortest: int = 2) -> Column:
@@ -88,11 +101,43 @@ def quoted_literals(s: Column, shortest: int = 2) -> Column:
     return F.array_distinct(F.filter(inner, lambda q: F.length(q) >= shortest))
 
 
-def acronym(s: Column) -> Column:
-    """Initials of the words that have content, if there are two or more."""
-    found = F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0))
-    content = F.filter(found, lambda w: ~F.lower(w).isin("of", "the", "and", "for", "in", "de", "la"))
-    return F.when(F.size(content) >= 2, F.upper(F.array_join(F.transform(content, lambda w: F.substring(w, 1, 1)), "")))
+def is_acronym(name: Column, form: Column) -> Column:
+    """Whether ``form`` reads as a short form of ``name``: capitals only (2 to 6 characters), or
+    the initials of its words, two at least, points left out. Words that aren't all capitals
+    are none."""
+    f = F.trim(form)
+    capitals = (f == F.upper(f)) & (f != F.lower(f))
+    initials = F.upper(F.array_join(F.transform(F.regexp_extract_all(name, F.lit("[A-Za-z]+"), F.lit(0)), lambda w: F.substring(w, 1, 1)), ""))
+    same = (F.regexp_replace(F.upper(f), r"\.", "") == initials) & (F.length(initials) >= 2)
+    return F.when((f == "") | (f.contains(" ") & ~capitals), False).when(capitals & F.length(f).between(2, 6), True).otherwise(same)
+
+
+def snake_case(s: Column) -> Column:
+    """camelCase and CapitalWords as lower-case words joined by underscores."""
+    x = F.regexp_replace(s, "([A-Z]+)([A-Z][a-z])", "$1_$2")
+    return F.lower(F.regexp_replace(x, "([a-z0-9])([A-Z])", "$1_$2"))
+
+
+def identifier(s: Column) -> Column:
+    """Lower case; each run of other than ASCII letters and digits is one underscore, none at the ends."""
+    return F.lower(F.regexp_replace(F.regexp_replace(s, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
+
+
+def label_identifier(s: Column) -> Column:
+    """A node label as an identifier: other characters give way first, which lowers it."""
+    return snake_case(identifier(s))
+
+
+def type_identifier(s: Column) -> Column:
+    """A relationship type, quoted and with a colon as the database may give it, as an identifier."""
+    bare = F.regexp_replace(F.trim(s), "^`+|`+$", "")
+    return identifier(F.regexp_replace(F.regexp_replace(bare, "^:+", ""), "^`+|`+$", ""))
+
+
+def row_sample(rows: Column, most: int, longest: int) -> Column:
+    """The first ``most`` rows (of an array) as JSON, cut at ``longest`` characters with a mark."""
+    text = F.to_json(F.slice(rows, 1, most))
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit(" …(truncated)"))).otherwise(text)
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -124,14 +169,14 @@ def snap(x: Column, eps: float) -> Column:
 
 
 def error_class(s: Column) -> Column:
-    """infra, gold, agent or other by an error's text, first match wins."""
-    t = F.lower(s)
+    """infra, gold, agent or other by an error's text. A statement's error is never infra: it
+    is gold's if the text starts so, else the agent's. Otherwise infra wins over the prefix."""
+    e = F.coalesce(s, F.lit(""))
+    gold = e.startswith("gold")
     return (
-        F.when(t.rlike(r"timed? ?out|connection|unavailable|rate limit|\b50[234]\b"), "infra")
-        .when(t.rlike(r"^gold"), "gold")
-        .when(t.rlike(r"syntax|unknown|not defined|type mismatch|invalid"), "agent")
-        .otherwise("other")
-    )
+        F.when(e.rlike(f"(?i){STATEMENT_ERROR}"), F.when(gold, "gold").otherwise("agent")).when(e.rlike(f"(?i){INFRA_ERROR}"), "infra")
+        .when(gold, "gold").when(e.startswith("agent"), "agent").otherwise("other")
+    )
 
 
 def masked_digits(s: Column) -> Column:

@@ -147,16 +147,31 @@ def repaired(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, f"{schema}, fixed string, outcome string")
 
 
+#: Patterns and words of entities that leaked into a text without being a value.
+MONTHS = r"(january|february|march|april|may|june|july|august|september|october|november|december)"
+ORDINAL_DATE, ISO_DATE = r"\b\d{1,2}(st|nd|rd|th)\b.*\d{4}", r"\d{4}-\d{2}-\d{2}"
+NUMBERS, DESCRIPTOR, LONG_NUMBER = r"\d{2,}[-/.]\d{2,}", r"\b(number|no\.?|id|badge|phone|nhs|account|card|ip)\b", r"\d{5,}"
+DOMAIN = r"\.(com|jp|org|net)\b"
+SCHEMA_WORDS = (
+    "accountholders", "accountholder", "moneytransfer", "moneytransfers", "purchases", "creditcards", "bankaccounts", "is_primary_suspect", "utc", "after", "tournament",
+    "politicians", "country", "countries", "ceos", "crime participants", "home", "oceans", "aircraft manufacturers", "terrorist", "serial killer",
+)
+
+
 def leak_class(entity: Column) -> Column:
-    """Classes of entities that no field holds; the first that fits."""
+    """Classes of entities that no field holds; the first that fits. Null is read as empty."""
+    e = F.coalesce(entity, F.lit(""))
+    low = F.lower(e)
     return (
-        F.when(entity.rlike(r"^\d{1,4}$"), "A").when(entity.rlike(r"^\d{4}-\d{2}-\d{2}$"), "B").when(entity.rlike(r"^(?i)(yes|no|true|false|unknown|null)$"), "C")
-        .when(entity.rlike(r"^[a-z]+$"), "D").otherwise("E")
+        F.when(low.rlike(MONTHS) | low.rlike(ORDINAL_DATE) | e.rlike(ISO_DATE), "A_date_datetime_leak").when(e.rlike(NUMBERS) | low.rlike(DESCRIPTOR) | e.rlike(LONG_NUMBER), "B_id_descriptor_leak")
+        .when(low.isin(*SCHEMA_WORDS), "C_schema_or_common_noun").when(low.rlike(DOMAIN) | (low == "com"), "D_fragment_literal").otherwise("E_unmatched_maybe_format")
     )
 
 
-def leak_action(class_: Column) -> Column:
-    return F.when(class_.isin("A", "C"), "drop").when(class_.isin("B", "D"), "hold").otherwise("flip")
+def leak_action(result: Column, class_: Column) -> Column:
+    """What to do with a row by its backfill result: unresolved ones are held if they are of the
+    last class, else dropped; confirmed ones are set to ok; others stay."""
+    return F.when(result == "unresolved", F.when(class_.startswith("E_"), "hold_E").otherwise("drop")).when(result.isin("ok_backfilled", "auto_ok_casing"), "flip_ok").otherwise("none")
 
 
 def backfilled_validity(edits: DataFrame, values: DataFrame) -> DataFrame:

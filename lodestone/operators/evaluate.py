@@ -107,33 +107,118 @@ def psjs_score(pred: Column, gold: Column, jaccard_: Column, ea: Column, failed:
 
 
 # difficulty, by the text of a query
+#: Words that begin a clause.
+CLAUSES = (
+    "OPTIONAL MATCH", "MATCH", "DETACH DELETE", "DELETE", "ORDER BY", "UNION ALL", "UNION", "WHERE", "RETURN", "WITH", "CREATE", "SET", "MERGE", "UNWIND",
+    "LIMIT", "SKIP", "FOREACH", "CALL", "YIELD", "REMOVE", "USING",
+)
+AGGREGATE = r"(?i)\b(?:COUNT|SUM|AVG|MIN|MAX|COLLECT)\s*\("
+SUBQUERY = r"(?i)\b(?:CALL|EXISTS|COUNT|COLLECT)\s*\{"
+
+
 def _count(s: Column, pattern: str) -> Column:
     return F.regexp_count(s, F.lit(pattern))
 
 
-def difficulty(query: Column) -> DataFrame | Column:
-    """struct(reach, op, filter, total, level): points for how far the patterns reach, the
-    hardest operation, and how the filters combine; 0 easy, 1 and 2 medium, 3 on hard. A
-    subquery, a variable-length path or a union with two hops is hard whatever the total."""
+def clauses(stripped: Column) -> Column:
+    """array of (word, body): each clause, to the next one's word, wherever it stands."""
+    words = "|".join(c.replace(" ", r"\s+") for c in CLAUSES)
+    marked = F.regexp_replace(stripped, rf"(?i)\b({words})\b", "\x01$1\x02")
+    parts = F.filter(F.split(marked, "\x01"), lambda x: x.contains("\x02"))
+    word = lambda x: F.upper(F.regexp_replace(F.substring_index(x, "\x02", 1), r"\s+", " "))
+    return F.transform(parts, lambda x: F.struct(word(x).alias("word"), F.substring_index(x, "\x02", -1).alias("body")))
+
+
+def _bodies(found: Column, *words: str) -> Column:
+    return F.transform(F.filter(found, lambda c: c["word"].isin(*words)), lambda c: c["body"])
+
+
+def top_level(body: Column) -> Column:
+    """The parts between commas that no bracket holds."""
+    zero = F.struct(F.lit(0).alias("round"), F.lit(0).alias("square"), F.lit(0).alias("curly"), F.lit("").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = {k: acc[k] + (c == o).cast("int") - (c == e).cast("int") for k, o, e in (("round", "(", ")"), ("square", "[", "]"), ("curly", "{", "}"))}
+        free = (c == ",") & (acc["round"] == 0) & (acc["square"] == 0) & (acc["curly"] == 0)
+        return F.struct(*[v.alias(k) for k, v in depth.items()], F.concat(acc["out"], F.when(free, "\x01").otherwise(c)).alias("out"))
+
+    return F.split(F.aggregate(F.split(body, ""), zero, step, lambda acc: acc["out"]), "\x01")
+
+
+def nested_subquery(stripped: Column) -> Column:
+    """Whether a subquery's braces stand within another's; braces of maps don't count."""
+    braces = F.regexp_extract_all(stripped, F.lit(SUBQUERY + r"|\{|\}"), F.lit(0))
+    zero = F.struct(F.lit("").alias("open"), F.lit(False).alias("nested"))
+
+    def step(acc: Column, x: Column) -> Column:
+        kind = F.when(F.length(x) > 1, "s").otherwise("m")
+        now = F.when(x == "}", F.substring(acc["open"], F.lit(1), F.greatest(F.length(acc["open"]) - 1, F.lit(0)))).otherwise(F.concat(acc["open"], kind))
+        return F.struct(now.alias("open"), (acc["nested"] | now.rlike("s.*s")).alias("nested"))
+
+    return F.aggregate(braces, zero, step, lambda acc: acc["nested"])
+
+
+def difficulty(query: Column) -> Column:
+    """struct(reach, op, filter, total, level): points for the longest path, the hardest
+    operation, and the predicates of all WHERE clauses and property maps; 0 easy, 1 and 2
+    medium, 3 on hard. A subquery within another, or a union with a path of two hops, is
+    hard whatever the total. No query, or a blank one: null."""
     s = X.stripped_query(query)
-    hops = _count(s, r"\)\s*<?-(?:\[[^\]]*\])?->?\s*\(")
-    varlen = s.rlike(r"\[[^\]]*\*[^\]]*\]")
-    sub = s.rlike(r"(?i)\b(EXISTS|COUNT|COLLECT|CALL)\s*\{")
-    union = s.rlike(r"(?i)\bUNION\b")
-    aggregate = s.rlike(r"(?i)\b(count|sum|avg|min|max|collect)\s*\(")
-    having = s.rlike(r"(?is)\bWITH\b.*\b(count|sum|avg|min|max|collect)\s*\(.*\bWHERE\b|\bWITH\b.*\b(count|sum|avg|min|max|collect)\s*\(.*\bORDER\s+BY\b")
-    ordered = s.rlike(r"(?i)\bORDER\s+BY\b")
-    optional = s.rlike(r"(?i)\bOPTIONAL\s+MATCH\b")
-    path = s.rlike(r"(?i)shortestPath")
-    where = F.regexp_extract(s, r"(?is)\bWHERE\b(.*?)(?:\bRETURN\b|\bWITH\b|$)", 1)
-    both = where.rlike(r"(?i)\bAND\b") & where.rlike(r"(?i)\bOR\b")
-    joins = _count(where, r"(?i)\b(AND|OR)\b") + _count(s, r"\{\s*\w+\s*:")
-    reach = F.when(varlen | (hops >= 3), 2).when(hops >= 2, 1).otherwise(0)
-    op = F.when(having | path | union, 2).when(aggregate | ordered | optional, 1).otherwise(0)
-    filters = F.when(both, 2).when(joins >= 2, 1).otherwise(0)
+    found = clauses(s)
+    patterns, wheres = _bodies(found, "MATCH", "OPTIONAL MATCH"), _bodies(found, "WHERE")
+    most = lambda a: F.coalesce(F.array_max(a), F.lit(0))
+    hops = most(F.transform(patterns, lambda p: most(F.transform(top_level(p), lambda x: _count(x, r"<?-(?:\[[^\]]*\])?->?")))))
+    reach = F.when(s.rlike(r"\[[^\]]*\*[^\]]*\]") | (hops >= 4), 2).when(hops >= 2, 1).otherwise(0)
+
+    def grouped(body: Column) -> Column:
+        parts = top_level(body)
+        return F.exists(parts, lambda x: x.rlike(AGGREGATE)) & F.exists(parts, lambda x: ~x.rlike(AGGREGATE))
+
+    ordered, union = s.rlike(r"(?i)\bORDER\s+BY\b"), s.rlike(r"(?i)\bUNION(?:\s+ALL)?\b")
+    hard = F.exists(_bodies(found, "RETURN", "WITH"), grouped) | (ordered & s.rlike(r"(?i)\bLIMIT\s+1\b(?!\s*\d)")) | s.rlike(r"(?i)\bCASE\s+WHEN\b") | union | s.rlike(SUBQUERY)
+    some = s.rlike(AGGREGATE) | ordered | s.rlike(r"(?i)\bLIMIT\b|\bSKIP\b|\bOPTIONAL\s+MATCH\b|\bUNWIND\b|\b(?:shortestPath|allShortestPaths)\s*\(")
+    op = F.when(hard, 2).when(some, 1).otherwise(0)
+    ands, ors = (lambda x: _count(x, r"(?i)\bAND\b")), (lambda x: _count(x, r"(?i)\bOR\b"))
+    total_of = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    predicates = total_of(F.transform(wheres, lambda x: 1 + ands(x) + ors(x))) + total_of(F.transform(patterns, lambda x: _count(x, r"[A-Za-z0-9_)\]]\s*\{")))
+    mixed = F.exists(wheres, lambda x: (ands(x) > 0) & (ors(x) > 0))
+    filters = F.when(mixed | (predicates >= 3), 2).when(predicates == 2, 1).otherwise(0)
     total = reach + op + filters
-    level = F.when(sub | path | varlen | (union & (hops >= 2)) | (total >= 3), "hard").when(total >= 1, "medium").otherwise("easy")
-    return F.struct(reach.alias("reach"), op.alias("op"), filters.alias("filter"), total.alias("total"), level.alias("level"))
+    level = F.when(nested_subquery(s) | (union & (hops >= 2)) | (total >= 3), "hard").when(total >= 1, "medium").otherwise("easy")
+    made = F.struct(reach.alias("reach"), op.alias("op"), filters.alias("filter"), total.alias("total"), level.alias("level"))
+    return F.when(query.rlike(r"\S"), made)
+
+
+def strategy_of(meta: Column) -> Column:
+    """The strategy of the first edit of a row's nested metadata; null where there is none."""
+    return F.get(meta["edits"], F.lit(0))["strategy"]
+
+
+def stale(ea: Column, rule: Column, chain: Column, current: str) -> Column:
+    """Whether a verdict of a chain run was made under another rule for rows than ``current``."""
+    return F.coalesce(chain, F.lit(False)) & ea.isNotNull() & ~rule.eqNullSafe(F.lit(current))
+
+
+def rater_files(rows: DataFrame, queues: DataFrame, calibration: DataFrame, raters: str = "ABCDE") -> DataFrame:
+    """(file, rater, kind, how) of the annotation rows (file, id, annotator). The rater is what the
+    column names, if it is one; else whose queue (rater, id) has the same ids; else the letter
+    in the file's name; else null. Files of the calibration's ids, or of fewer than 100 rows,
+    are calibration; a file known by its queue is main."""
+    named = F.upper(F.trim("annotator"))
+    files = rows.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.array_sort(F.collect_set(F.when(named != "", named))).alias("names"))
+    different = rows.select("file", "id").distinct()
+    sizes = queues.groupBy("rater").agg(F.countDistinct("id").alias("size"))
+    whole = different.join(queues.distinct(), "id").groupBy("file", "rater").agg(F.count("*").alias("met")).join(sizes, "rater")
+    queue = whole.join(files.select("file", "ids"), "file").where("met = size and met = ids").groupBy("file").agg(F.min("rater").alias("queue"))
+    tested = different.join(calibration.select("id").distinct().withColumn("c", F.lit(1)), "id", "left").groupBy("file").agg(F.count("c").alias("c"))
+    size = calibration.agg(F.countDistinct("id").alias("size"))
+    met = files.join(queue, "file", "left").join(tested, "file").join(F.broadcast(size))  # one row
+    base = F.regexp_extract("file", r"[^/]*$", 0)
+    letter = F.upper(F.coalesce(F.nullif(F.regexp_extract(base, rf"annotator[_ -]?([{raters}{raters.lower()}])\b", 1), F.lit("")), F.nullif(F.regexp_extract(base, rf"[_ -]([{raters}])\.csv$", 1), F.lit(""))))
+    column = F.when((F.size("names") == 1) & F.get("names", F.lit(0)).isin(*raters), F.get("names", F.lit(0)))
+    small = ((F.col("c") == F.col("size")) & (F.col("ids") == F.col("size"))) | (F.col("n") < 100)
+    how = F.when(column.isNotNull(), "column").when(F.col("queue").isNotNull(), "queue").when(letter.isNotNull(), "name").otherwise("unknown")
+    return met.select("file", F.coalesce(column, "queue", letter).alias("rater"), F.when(small & (how != "queue"), "calibration").otherwise("main").alias("kind"), how.alias("how"))
 
 
 def has_order_by(query: Column) -> Column:
@@ -283,10 +368,10 @@ def rejudged(records: DataFrame, fresh: DataFrame, stale: Column) -> DataFrame:
 
 def grounding_class(mention: Column, value: Column) -> Column:
     """How a mention can be linked: same text whatever the case, at most two edits
-    (neighbours' swaps count once), containment, else meaning."""
-    m, v = F.lower(F.trim(mention)), F.lower(F.trim(value))
+    (neighbours' swaps count once), the value contains it, else meaning."""
+    m, v = F.lower(mention), F.lower(value)
     near = (F.abs(F.length(mention) - F.length(value)) <= 2) & (X.osa_distance(mention, value) <= 2)
-    return F.when(m == v, "exact_ci").when(near, "edit").when(F.contains(v, m) | F.contains(m, v), "substring").otherwise("semantic")
+    return F.when(m == v, "exact_ci").when(near, "edit_distance").when(F.contains(v, m), "substring").otherwise("semantic")
 
 
 def markdown(rows: list, columns: list[str]) -> str:

@@ -6,9 +6,13 @@ mentions (qid, phrase, label, prop); results (qid, value, score, rank), ties by
 
 from __future__ import annotations
 
+import functools
 import math
+import warnings
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,24 +108,55 @@ def search(values: DataFrame, mentions: DataFrame, k: int = 10, fuzziness: int =
     return rerank(fuzzy_topk(values, blank, max(2 * k, 20), fuzziness), blank, k)
 
 
-def lev_topk(values: DataFrame, mentions: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
-    """Edit-distance similarity to every value of the mention's field. The join is on the
-    field; the mentions are the small side."""
-    rows = mentions.join(values, FIELD).withColumn("score", F.round(X.lev_similarity(F.col("phrase"), F.col("value")), 9))
+def in_blocks(queries: DataFrame, rows: DataFrame, keys: list[str], rows_per_block: int) -> DataFrame:
+    """Queries joined with all rows of their keys: rows are dealt into blocks by their places,
+    queries go to every block, so no key is one task's."""
+    blocks = max(1, math.ceil(rows.count() / rows_per_block))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return asked.join(dealt, [*keys, "block"])
+
+
+def lev_topk(values: DataFrame, mentions: DataFrame, k: int = 10, least: float = 0.0, rows_per_block: int = 16_384) -> DataFrame:
+    """Edit-distance similarity to every value of the mention's field, in blocks of values; the
+    mentions are the stated side. Each task keeps k for a mention before they meet."""
+    rows = in_blocks(mentions, values, FIELD, rows_per_block).withColumn("score", F.round(X.lev_similarity(F.col("phrase"), F.col("value")), 9))
     return ranked(rows.where(F.col("score") >= least).select("qid", "value", "score"), k)
 
 
+def _block_best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Of a block the k best values of each query, by a matrix product; norms once a vector."""
+    if not len(queries) or not len(rows):
+        return pd.DataFrame({"qid": [], "value": [], "score": []})
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        x = np.stack(vectors.to_list()).astype(np.float64)
+        norms = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norms > 0, norms, 1.0)
+
+    rows = rows.sort_values("value", kind="stable")
+    values, starts = np.unique(rows["value"].to_numpy(), return_index=True)
+    e, out = unit(rows["e"]).T, []
+    for at in range(0, len(queries), 256):
+        some = queries.iloc[at : at + 256]
+        best = np.maximum.reduceat(np.round(unit(some["q"]) @ e, 6), starts, axis=1)
+        top = np.argsort(-best, 1, kind="stable")[:, :k]  # ties in the order of values
+        out.append(pd.DataFrame({"qid": np.repeat(some["qid"].to_numpy(), top.shape[1]), "value": values[top].ravel(), "score": np.take_along_axis(best, top, 1).ravel()}))
+    return pd.concat(out)
+
+
 def vector_topk(index: DataFrame, queries: DataFrame, k: int = 10, rows_per_block: int = 4096) -> DataFrame:
     """Exact cosine top-k. index: (value, embedding), queries: (qid, embedding). Rows are
-    dealt into blocks; queries go to every block, so pairs meet by an equi-join, and each
-    block keeps k for a query before they meet. Of rows with one value the best counts."""
+    dealt into blocks by their places; queries go to every block, and each block keeps k for
+    a query before they meet. Of rows with one value the best counts; null vectors take no
+    part, a zero vector counts as of length 1, and only equal lengths meet."""
+    index, queries = index.where("embedding is not null"), queries.where("embedding is not null")
     blocks = max(1, math.ceil(index.count() / rows_per_block))
-    right = index.select("value", F.col("embedding").alias("e"), F.pmod(F.xxhash64("value"), F.lit(blocks)).alias("block"))
-    left = queries.select("qid", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    scored = left.join(right, "block").select("qid", "block", "value", F.round(X.cosine(F.col("q"), F.col("e")), 6).alias("score"))
-    scored = scored.groupBy("qid", "block", "value").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("qid", "block").orderBy(F.desc("score"), "value")
-    near = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    dim = F.size("embedding").alias("dim")
+    right = index.select("value", F.col("embedding").alias("e"), dim, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"))
+    left = queries.select("qid", F.col("embedding").alias("q"), dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    kinds = f"qid {dict(queries.dtypes)['qid']}, value {dict(index.dtypes)['value']}, score double"
+    near = left.groupBy("dim", "block").cogroup(right.groupBy("dim", "block")).applyInPandas(functools.partial(_block_best, k=k), kinds)
     return ranked(near.groupBy("qid", "value").agg(F.max("score").alias("score")), k)
 
 
@@ -158,7 +193,9 @@ FUSIONS = {"cascade": cascade, "rrf": reciprocal_rank, "weighted": weighted}
 
 
 def fused(first: DataFrame, second: DataFrame, mode: str = "cascade", k: int = 10) -> DataFrame:
-    """Both lists give up to 2k; an unknown mode falls back to the cascade."""
+    """Both lists give up to 2k; an unknown mode is warned of and falls back to the cascade."""
+    if mode not in FUSIONS:
+        warnings.warn(f"unknown fusion {mode!r}: one of {', '.join(FUSIONS)}; the cascade is taken", stacklevel=2)
     pool = lambda d: d.where(F.col("rank") <= 2 * k)
     return FUSIONS.get(mode, cascade)(pool(first), pool(second), k)
 
@@ -181,6 +218,6 @@ def closest_value(values: DataFrame, mentions: DataFrame) -> DataFrame:
     """Top value over the whole graph by Jaro-Winkler similarity, ties by value."""
     from ..functions.udf import jaro_winkler
 
-    rows = mentions.select("qid", "phrase", F.lit(0).alias("one")).join(values.select("value", F.lit(0).alias("one")).distinct(), "one")
+    rows = in_blocks(mentions.select("qid", "phrase"), values.select("value").distinct(), [], 16_384)
     scored = rows.select("qid", "value", F.round(jaro_winkler(F.lower("phrase"), F.lower("value")), 6).alias("score"))
     return ranked(scored, 1)

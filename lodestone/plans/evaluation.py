@@ -15,7 +15,7 @@ from ..operators import evaluate as E
 from ..operators import sampling as S
 from ..operators import stats as T
 from .catalog import tables, trade_graph
-from .linking import MENTIONS_SQL, mentions, part_values
+from .linking import MENTIONS_SQL, VALUES_SQL, mentions, part_values, values_of_all_kinds
 from .registry import query
 
 RECORDS_SQL = """records AS (SELECT o_orderkey AS qid, o_orderpriority AS graph, o_orderstatus AS strategy,
@@ -113,25 +113,74 @@ def node_set(spark, sf):
     return E.union_all(rows)
 
 
-DIFFICULTY = (
-    ("MATCH (n:Nation) RETURN n.name", "easy"), ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN n.name AS n, count(c) AS k", "medium"),
-    ("MATCH (c:Customer)-[:LIVES_IN]->(:Nation)-[:IN_REGION]->(r:Region) RETURN r.name, count(c) AS k ORDER BY k DESC", "medium"),
-    ("MATCH (a)-[:X*1..3]->(b) RETURN b", "hard"), ("MATCH (n) WHERE EXISTS { (n)-[:X]->() } RETURN n", "hard"),
-    ("MATCH (a)-[:X]->(b) WITH b, count(a) AS k WHERE k > 2 RETURN b.name", "medium"), ("MATCH (a)-[:X]->(b)-[:Y]->(c) WITH c, count(a) AS k WHERE k > 2 RETURN c.name", "hard"),
-    ("MATCH (a) WHERE a.x = 1 AND a.y = 2 OR a.z = 3 RETURN a", "medium"),
+#: Queries made of a part's numbers: hops of the path, predicates, the kind of projection.
+PROJECTIONS = (
+    (" RETURN a", 0), (" RETURN count(a)", 1), (" RETURN a.x, count(*)", 2), (" RETURN a ORDER BY a.x LIMIT 1", 2), (" RETURN a ORDER BY a.x LIMIT 10", 1), (" RETURN CASE WHEN a.x = 1 THEN 1 END", 2),
+    (" RETURN a.x UNION MATCH (c) RETURN c.x", 2), (" WITH a, max(a.y) AS m RETURN m", 2), (" RETURN a.x SKIP 2", 1),
 )
+DIFFICULTY_SQL = f"""made AS (SELECT p_partkey AS k, p_partkey % 6 AS hops, p_size % 4 AS n, p_size % 3 = 0 AND p_size % 4 = 3 AS mixed, p_partkey // 6 % {len(PROJECTIONS)} AS p, [{", ".join(str(x) for _, x in PROJECTIONS)}] AS points FROM part),
+scored AS (SELECT k, p, hops, CASE WHEN hops >= 4 THEN 2 WHEN hops >= 2 THEN 1 ELSE 0 END AS reach, points[p + 1] AS op, CASE WHEN mixed OR n >= 3 THEN 2 WHEN n = 2 THEN 1 ELSE 0 END AS filter FROM made),
+levels AS (SELECT *, CASE WHEN p = 6 AND hops >= 2 OR reach + op + filter >= 3 THEN 'hard' WHEN reach + op + filter >= 1 THEN 'medium' ELSE 'easy' END AS level FROM scored)"""
 
 
-@query("difficulty_bucket", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{lv}')" for i, (_, lv) in enumerate(DIFFICULTY)) + ") t(i, level)")
+def made_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, query): a path, with a second pattern that is shorter; a comment and texts hold what
+    would count elsewhere."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    n = size % 4
+    join = F.when(size % 3 == 0, " OR a.s = 'x AND y, -[]-'").otherwise(" AND a.s = 'x OR y'")
+    where = F.when(n == 0, "").otherwise(F.concat(F.lit(" WHERE a.x = 1"), F.when(n > 1, " AND a.y = 2").otherwise(""), F.when(n > 2, join).otherwise("")))
+    path = F.concat(F.lit("MATCH (z), (a:L)"), F.repeat(F.lit("-[:R]->(:L)"), (key % 6).cast("int")), F.lit(" // WHERE (b)-[*]->(c)\n"))
+    tail = F.get(F.array(*[F.lit(x) for x, _ in PROJECTIONS]), (F.floor(key / 6) % len(PROJECTIONS)).cast("int"))
+    return tables(spark, sf)("part").select(key.alias("k"), F.concat(path, where, tail).alias("query"))
+
+
+@query("difficulty_bucket", f"WITH {DIFFICULTY_SQL} SELECT k, CAST(reach AS INTEGER) AS reach, CAST(op AS INTEGER) AS op, CAST(filter AS INTEGER) AS filter, level FROM levels")
 def difficulty_bucket(spark, sf):
-    df = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(DIFFICULTY)], "i int, q string")
-    return df.select("i", E.difficulty(F.col("q"))["level"].alias("level"))
+    return made_queries(spark, sf).withColumn("d", E.difficulty(F.col("query"))).select("k", "d.reach", "d.op", "d.filter", "d.level")
 
 
-@query("difficulty_backfill", "SELECT * FROM (VALUES (1, 'easy'), (2, NULL)) t(i, d)")
+@query("difficulty_backfill", f"WITH {DIFFICULTY_SQL} SELECT k, CASE WHEN k % 3 > 0 THEN level END AS level, k % 3 > 0 AND (k % 3 = 1 OR level <> 'easy') AS changed FROM levels")
 def difficulty_backfill(spark, sf):
-    df = spark.createDataFrame([(1, "MATCH (n) RETURN n", ("v1", None)), (2, "MATCH (n) RETURN n", None)], "i int, gold_cypher string, _aug_meta struct<v:string,difficulty:string>")
-    return A.nested_difficulty(df).select("i", F.col("_aug_meta.difficulty").alias("d"))
+    k = F.col("k")
+    meta = F.when(k % 3 == 1, F.struct(F.lit("v").alias("v"), F.lit(None).cast("string").alias("difficulty"))).when(k % 3 == 2, F.struct(F.lit("v").alias("v"), F.lit("easy").alias("difficulty")))
+    rows = made_queries(spark, sf).select("k", F.col("query").alias("gold_cypher"), meta.alias("_aug_meta")).withColumn("before", F.col("_aug_meta.difficulty"))
+    return A.nested_difficulty(rows).select("k", F.col("_aug_meta.difficulty").alias("level"), (F.col("_aug_meta").isNotNull() & ~F.col("before").eqNullSafe(F.col("_aug_meta.difficulty"))).alias("changed"))
+
+
+@query("strategy_extraction", f"WITH {RECORDS_SQL} SELECT CASE WHEN qid % 5 < 3 THEN strategy END AS strategy, count(*) AS n FROM records GROUP BY 1")
+def strategy_extraction(spark, sf):
+    edits = F.array(F.struct("strategy", "qid"), F.struct(F.lit("later").alias("strategy"), "qid"))
+    q = F.col("qid") % 5
+    meta = F.when(q < 4, F.struct(F.when(q < 3, edits).otherwise(F.slice(edits, 1, 0)).alias("edits")))
+    return records(spark, sf).select(E.strategy_of(meta).alias("strategy")).groupBy("strategy").agg(F.count("*").alias("n"))
+
+
+@query("stale_guard", f"""WITH {RECORDS_SQL}, r AS (SELECT graph, method, ea, CASE qid % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'old' END AS rule, CASE WHEN method = 'a' THEN true WHEN qid % 5 = 0 THEN NULL ELSE false END AS chain FROM records)
+SELECT graph, method, count(*) FILTER (coalesce(chain, false) AND ea IS NOT NULL AND rule IS DISTINCT FROM 'full') AS stale FROM r GROUP BY 1, 2""")
+def stale_guard(spark, sf):
+    q = F.col("qid")
+    rule, chain = F.when(q % 3 == 0, "full").when(q % 3 == 1, "old"), F.when(F.col("method") == "a", True).when(q % 5 == 0, None).otherwise(False)
+    return records(spark, sf).groupBy("graph", "method").agg(F.count(F.when(E.stale(F.col("ea"), rule, chain, "full"), 1)).alias("stale"))
+
+
+@query("result_sample", f"""WITH {RECORDS_SQL}, r AS (SELECT graph, list(qid ORDER BY qid) AS ids FROM records GROUP BY 1), j AS (SELECT graph, '[' || array_to_string(list_transform(ids[1:50], lambda x: '{{"qid":' || x || '}}'), ',') || ']' AS t FROM r)
+SELECT graph, CASE WHEN length(t) > 600 THEN t[1:600] || ' …(truncated)' ELSE t END AS sample FROM j""")
+def result_sample(spark, sf):
+    first = records(spark, sf).groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("qid"))).alias("rows"))
+    return first.select("graph", X.row_sample(F.col("rows"), 50, 600).alias("sample"))
+
+
+@query("rater_files", """WITH f AS (SELECT 'x/file_' || doc_id % 5 || CASE WHEN doc_id % 5 = 3 THEN '_D' ELSE '' END || '.csv' AS file, doc_id AS id, doc_id % 5 AS g FROM labels), c AS (SELECT file, g, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT file, CASE g WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 3 THEN 'D' END AS rater, CASE WHEN g <> 1 AND (g = 0 OR n < 100) THEN 'calibration' ELSE 'main' END AS kind, CASE g WHEN 0 THEN 'column' WHEN 1 THEN 'queue' WHEN 3 THEN 'name' ELSE 'unknown' END AS how FROM c""")
+def rater_files(spark, sf):
+    d = F.col("doc_id")
+    g = d % 5
+    rows = tables(spark, sf)("labels").select(
+        F.concat(F.lit("x/file_"), g.cast("string"), F.when(g == 3, "_D").otherwise(""), F.lit(".csv")).alias("file"), d.alias("id"), F.when((g == 0) & (d % 2 == 0), " a ").when(g == 2, F.when(d % 2 == 0, "A").otherwise("C")).alias("annotator")
+    )
+    queues = rows.where("file like '%_1.csv'").select(F.lit("B").alias("rater"), "id").union(rows.where("file like '%_4.csv' and id > 20").select(F.lit("E").alias("rater"), "id"))
+    return E.rater_files(rows, queues, rows.where("file like '%_0.csv'").select("id"))
 
 
 @query("bucket_means", f"WITH {RECORDS_SQL}, u AS (SELECT 'all' AS bucket, ea, psjs FROM records UNION ALL SELECT bucket, ea, psjs FROM records WHERE bucket IS NOT NULL) SELECT bucket, count(*) AS n, round(avg(coalesce(CAST(ea AS INTEGER), 0)), 6) AS ea, round(avg(coalesce(psjs, 0)), 6) AS psjs FROM u GROUP BY 1")
@@ -181,9 +230,19 @@ def failure_buckets(spark, sf):
     return df.select("i", E.failure_bucket(*map(F.col, ("pv", "gv", "pt", "gt", "psjs"))).alias("bucket"))
 
 
-@query("error_class", f"WITH {RECORDS_SQL} SELECT CASE WHEN error LIKE '%timed out%' THEN 'infra' WHEN error LIKE 'Syntax%' THEN 'agent' END AS class, regexp_replace(error, '\\d+', 'N', 'g') AS text, count(*) AS n FROM records WHERE error IS NOT NULL GROUP BY 1, 2")
+ERROR_TEXTS = (
+    "gold: timed out after ", "agent: CypherSyntaxError at ", "gold: Neo.ClientError.Statement, timed out ", "gold: no rows ", "agent: APITimeoutError ", "agent gave up ", "HTTP 503 at ", "unknown function ", "agent: neo.clienterror.x ", "status code: 429 ",
+)
+
+
+@query("error_class", rf"""WITH {RECORDS_SQL}, e AS (SELECT [{", ".join(f"'{x}'" for x in ERROR_TEXTS)}][qid % {len(ERROR_TEXTS)} + 1] || qid AS error FROM records UNION ALL SELECT error FROM records)
+SELECT CASE WHEN regexp_matches(e, '(?i){X.STATEMENT_ERROR}') THEN CASE WHEN starts_with(e, 'gold') THEN 'gold' ELSE 'agent' END WHEN regexp_matches(e, '(?i){X.INFRA_ERROR}') THEN 'infra' WHEN starts_with(e, 'gold') THEN 'gold' WHEN starts_with(e, 'agent') THEN 'agent' ELSE 'other' END AS class,
+ regexp_replace(error, '\d+', 'N', 'g') AS text, count(*) AS n FROM (SELECT error, coalesce(error, '') AS e FROM e) GROUP BY 1, 2""")
 def error_class(spark, sf):
-    return records(spark, sf).where("error is not null").groupBy(X.error_class(F.col("error")).alias("class"), X.masked_digits(F.col("error")).alias("text")).agg(F.count("*").alias("n"))
+    r = records(spark, sf)
+    made = F.concat(F.get(F.array(*[F.lit(x) for x in ERROR_TEXTS]), (F.col("qid") % len(ERROR_TEXTS)).cast("int")), F.col("qid").cast("string"))
+    rows = r.select(made.alias("error")).union(r.select("error"))
+    return rows.groupBy(X.error_class(F.col("error")).alias("class"), X.masked_digits(F.col("error")).alias("text")).agg(F.count("*").alias("n"))
 
 
 @query("gold_dedup", f"WITH {RECORDS_SQL} SELECT graph, qid % 100 AS qid, arg_min(error, (stamp, error)) AS error, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM records WHERE error IS NOT NULL GROUP BY 1, 2")
@@ -437,11 +496,16 @@ def applicability_ceiling(spark, sf):
     return A.applicability_ceiling(spark.createDataFrame(rows, "graph string, strategy string, attested double, probe_rate double, precision double, pool_share double, synthetic boolean"))
 
 
-@query("leak_class", "SELECT * FROM (VALUES ('42', 'A', 'drop'), ('2001-01-01', 'B', 'hold'), ('Yes', 'C', 'drop'), ('actor', 'D', 'hold'), ('New York', 'E', 'flip')) t(entity, class, action)")
+@query("leak_class", rf"""WITH {VALUES_SQL}, v AS (SELECT value, lower(value) AS low, CASE length(value) % 4 WHEN 0 THEN 'ok_backfilled' WHEN 1 THEN 'failed' ELSE 'unresolved' END AS result FROM vals),
+c AS (SELECT value, result, CASE WHEN regexp_matches(low, '{A.MONTHS}') OR regexp_matches(low, '{A.ORDINAL_DATE}') OR regexp_matches(value, '{A.ISO_DATE}') THEN 'A_date_datetime_leak'
+ WHEN regexp_matches(value, '{A.NUMBERS}') OR regexp_matches(low, '{A.DESCRIPTOR}') OR regexp_matches(value, '{A.LONG_NUMBER}') THEN 'B_id_descriptor_leak' WHEN list_contains({list(A.SCHEMA_WORDS)}, low) THEN 'C_schema_or_common_noun'
+ WHEN regexp_matches(low, '{A.DOMAIN}') OR low = 'com' THEN 'D_fragment_literal' ELSE 'E_unmatched_maybe_format' END AS class FROM v)
+SELECT value, class, CASE WHEN result = 'unresolved' THEN CASE WHEN class[1] = 'E' THEN 'hold_E' ELSE 'drop' END WHEN result = 'ok_backfilled' THEN 'flip_ok' ELSE 'none' END AS action FROM c""")
 def leak_class(spark, sf):
-    df = spark.createDataFrame([("42",), ("2001-01-01",), ("Yes",), ("actor",), ("New York",)], "entity string")
-    c = A.leak_class(F.col("entity"))
-    return df.select("entity", c.alias("class"), A.leak_action(c).alias("action"))
+    n = F.length("value") % 4
+    rows = values_of_all_kinds(spark, sf).withColumn("result", F.when(n == 0, "ok_backfilled").when(n == 1, "failed").otherwise("unresolved"))
+    c = A.leak_class(F.col("value"))
+    return rows.select("value", c.alias("class"), A.leak_action(F.col("result"), c).alias("action"))
 
 
 @query("entity_spans")

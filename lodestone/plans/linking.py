@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,22 +187,11 @@ def tool_routing(spark, sf):
 
 
 @query("fcav_topk", """WITH s AS (SELECT q.vec_id AS qid, CAST(r.label AS VARCHAR) AS value, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score
-FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0), m AS (SELECT qid, value, max(score) AS score FROM s GROUP BY 1, 2), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, value) AS INTEGER) AS rank FROM m)
+FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), m AS (SELECT qid, value, max(score) AS score FROM s GROUP BY 1, 2), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, value) AS INTEGER) AS rank FROM m)
 SELECT * FROM t WHERE rank <= 15""")
 def fcav_topk(spark, sf):
     """Several vectors may have one value: the best counts."""
     e = tables(spark, sf)("embeddings")
-    scored = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.lit(0).alias("b")).join(e.select(F.col("label").cast("string").alias("value"), "embedding", F.lit(0).alias("b")), "b")
-    best = scored.groupBy("qid", "value").agg(F.max(F.round(X.cosine(F.col("q"), F.col("embedding")), 6)).alias("score"))
-    return R.ranked(best, 15)
-
-
-@query("fcav_topk_50", """WITH s AS (SELECT q.vec_id AS qid, CAST(r.label AS VARCHAR) AS value, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score
-FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), m AS (SELECT qid, value, max(score) AS score FROM s GROUP BY 1, 2), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, value) AS INTEGER) AS rank FROM m)
-SELECT * FROM t WHERE rank <= 15""")
-def fcav_topk_50(spark, sf):
-    """As fcav_topk, of every id divisible by 50, in blocks."""
-    e = tables(spark, sf)("embeddings")
     return R.vector_topk(e.select(F.col("label").cast("string").alias("value"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 15)
 
 
@@ -210,14 +201,6 @@ def flatten_results(spark, sf):
 
 
 # catalog profiles
-@query("node_profile", """SELECT 'Region' AS label, 'name' AS prop, 'string' AS type, count(*) AS nodes, count(r_name) AS non_null, round(100.0 * count(r_name) / count(*), 1) AS fill_pct FROM region
-UNION ALL SELECT 'Nation', 'name', 'string', count(*), count(n_name), round(100.0 * count(n_name) / count(*), 1) FROM nation
-UNION ALL SELECT 'Supplier', unnest(['name', 'acctbal']), unnest(['string', 'double']), count(*), count(*), 100.0 FROM supplier
-UNION ALL SELECT 'Customer', unnest(['name', 'acctbal', 'mktsegment']), unnest(['string', 'double', 'string']), count(*), count(*), 100.0 FROM customer""")
-def node_profile(spark, sf):
-    return P.node_profile(trade_graph(spark, sf)).where("label in ('Region', 'Nation', 'Supplier', 'Customer')").drop("samples")
-
-
 NODE_PROFILE_SQL = " UNION ALL ".join(
     f"SELECT '{label}' AS label, '{prop}' AS prop, '{kind}' AS type, count(*) AS nodes, count({column}) AS non_null, round(100.0 * count({column}) / nullif(count(*), 0), 1) AS fill_pct FROM {table}"
     for label, table, props in (
@@ -230,18 +213,11 @@ NODE_PROFILE_SQL = " UNION ALL ".join(
 )
 
 
-@query("node_profile_all", NODE_PROFILE_SQL)
-def node_profile_all(spark, sf):
+@query("node_profile", NODE_PROFILE_SQL)
+def node_profile(spark, sf):
     return P.node_profile(trade_graph(spark, sf)).drop("samples")
 
 
-@query("rel_profile", """SELECT 'IN_REGION' AS type, 'Nation' AS source, 'Region' AS target, CAST(NULL AS VARCHAR) AS prop, count(*) AS edges, CAST(0 AS BIGINT) AS non_null FROM nation
-UNION ALL SELECT 'PLACED', 'Customer', 'Order', 'at', count(*), count(o_orderdate) FROM orders UNION ALL SELECT 'SUPPLIED', 'Supplier', 'Order', 'quantity', count(*), count(l_quantity) FROM lineitem
-UNION ALL SELECT 'LOCATED_IN', 'Customer', 'Nation', NULL, count(*), 0 FROM customer UNION ALL SELECT 'LOCATED_IN', 'Supplier', 'Nation', NULL, count(*), 0 FROM supplier""")
-def rel_profile(spark, sf):
-    return P.rel_profile(trade_graph(spark, sf)).where("type in ('IN_REGION', 'PLACED', 'SUPPLIED', 'LOCATED_IN')")
-
-
 REL_PROFILE_SQL = """SELECT 'IN_REGION' AS type, 'Nation' AS source, 'Region' AS target, CAST(NULL AS VARCHAR) AS prop, count(*) AS edges, CAST(0 AS BIGINT) AS non_null FROM nation
 UNION ALL SELECT 'LIVES_IN', 'Customer', 'Nation', NULL, count(*), 0 FROM customer UNION ALL SELECT 'BASED_IN', 'Supplier', 'Nation', NULL, count(*), 0 FROM supplier
 UNION ALL SELECT 'LOCATED_IN', 'Customer', 'Nation', NULL, count(*), 0 FROM customer UNION ALL SELECT 'LOCATED_IN', 'Supplier', 'Nation', NULL, count(*), 0 FROM supplier
@@ -251,8 +227,8 @@ UNION ALL SELECT 'SUPPLIES', 'Supplier', 'Part', NULL, count(*), 0 FROM (SELECT
 )
 
 
-@query("rel_profile_all", REL_PROFILE_SQL)
-def rel_profile_all(spark, sf):
+@query("rel_profile", REL_PROFILE_SQL)
+def rel_profile(spark, sf):
     return P.rel_profile(trade_graph(spark, sf))
 
 
@@ -334,13 +310,14 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return tables(spark, sf)("conversations").select("conv_id", "turn", "text")
 
 
-PAIRS_SQL = "pairs AS (SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b WHERE a.p_name < b.p_name)"
+PAIRS_SQL = "names AS (SELECT DISTINCT p_name, split_part(p_name, ' ', -1) AS noun FROM part), pairs AS (SELECT a.p_name AS a, b.p_name AS b FROM names a JOIN names b ON a.noun = b.noun AND a.p_name < b.p_name)"
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    names = tables(spark, sf)("part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a"), F.lit(0).alias("k")), names.select(F.col("p_name").alias("b"), F.lit(0).alias("k"))
-    return a.join(b, "k").where("a < b").select("a", "b")
+    """Pairs of names with the same last word."""
+    names = tables(spark, sf)("part").select("p_name", F.substring_index("p_name", " ", -1).alias("noun")).distinct()
+    a, b = names.toDF("a", "noun"), names.toDF("b", "noun")
+    return a.join(b, "noun").where("a < b").select("a", "b")
 
 
 @query("lev_similarity", f"WITH {PAIRS_SQL} SELECT a, b, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS s FROM pairs")
@@ -348,20 +325,11 @@ def lev_similarity(spark, sf):
     return pairs(spark, sf).select("a", "b", F.round(X.lev_similarity(F.col("a"), F.col("b")), 6).alias("s"))
 
 
-@query("jaro_winkler", f"WITH {PAIRS_SQL} SELECT a, b, round(jaro_winkler_similarity(a, b), 4) AS s FROM pairs WHERE jaro_similarity(a, b) >= 0.7")
+@query("jaro_winkler", f"""WITH {PAIRS_SQL}, j AS (SELECT a, b, jaro_similarity(a, b) AS j, CASE WHEN a[1:4] = b[1:4] THEN 4 WHEN a[1:3] = b[1:3] THEN 3 WHEN a[1:2] = b[1:2] THEN 2 WHEN a[1] = b[1] THEN 1 ELSE 0 END AS p FROM pairs)
+SELECT a, b, round(j + p * 0.1 * (1 - j), 4) AS s FROM j""")
 def jaro_winkler(spark, sf):
     from ..functions.udf import jaro_winkler as jw
 
-    rows = pairs(spark, sf).withColumn("s", jw("a", "b"))
-    prefix = F.when(F.substring("a", 1, 4) == F.substring("b", 1, 4), 4).when(F.substring("a", 1, 3) == F.substring("b", 1, 3), 3).when(F.substring("a", 1, 2) == F.substring("b", 1, 2), 2).when(F.substring("a", 1, 1) == F.substring("b", 1, 1), 1).otherwise(0)
-    jaro = (F.col("s") - prefix * 0.1) / (1 - prefix * 0.1)
-    return rows.where(jaro >= 0.7 - 1e-9).select("a", "b", F.round("s", 4).alias("s"))
-
-
-@query("jaro_winkler_all")
-def jaro_winkler_all(spark, sf):
-    from ..functions.udf import jaro_winkler as jw
-
     return pairs(spark, sf).select("a", "b", F.round(jw("a", "b"), 4).alias("s"))
 
 
@@ -370,30 +338,47 @@ def osa_distance(spark, sf):
     return pairs(spark, sf).select("a", "b", X.osa_distance(F.col("a"), F.col("b")).alias("d"))
 
 
-@query("tokenise", "SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda w: NOT list_contains(" + str(list(X.STOPWORDS)) + ", w)), ' ') AS words FROM conversations WHERE regexp_full_match(text, '[ -~\\s]*')")
+@query("tokenise", r"SELECT conv_id, turn, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), lambda w: NOT list_contains(" + str(list(X.STOPWORDS)) + ", w)), ' ') AS words FROM conversations")
 def tokenise(spark, sf):
-    return _texts(spark, sf).where(F.col("text").rlike(r"^[ -~\s]*$")).select("conv_id", "turn", F.array_join(X.words(F.col("text")), " ").alias("words"))
-
-
-@query("tokenise_all")
-def tokenise_all(spark, sf):
     return _texts(spark, sf).select("conv_id", "turn", F.array_join(X.words(F.col("text")), " ").alias("words"))
 
 
-@query("collapse_space", "SELECT conv_id, turn, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS t FROM conversations WHERE regexp_full_match(text, '[ -~]*')")
+@query("collapse_space", r"SELECT conv_id, turn, trim(regexp_replace(lower(text), '[\s\p{Z}\x0b\x85]+', ' ', 'g')) AS t FROM conversations")
 def collapse_space(spark, sf):
-    return _texts(spark, sf).where(F.col("text").rlike(r"^[ -~]*$")).select("conv_id", "turn", X.collapsed(F.col("text")).alias("t"))
-
-
-@query("collapse_space_all")
-def collapse_space_all(spark, sf):
-    return _texts(spark, sf).select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), r"(?U)\s+", " ")).alias("t"))
-
-
-@query("entity_typing", "SELECT * FROM (VALUES ('a.b@c.org', 'email'), ('12:30', 'time'), ('123-45-6789', 'id'), ('2001-02-03', 'date'), ('42', 'id'), ('SW1A 1', 'id'), ('Alice Smith', 'name')) t(value, type)")
+    return _texts(spark, sf).select("conv_id", "turn", X.collapsed(F.col("text")).alias("t"))
+
+
+VALUES_SQL = """vals AS (SELECT DISTINCT p_name AS value FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT CAST(p_partkey AS VARCHAR) FROM part UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation
+ UNION SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders UNION SELECT strftime(o_orderdate, '%d/%m/%Y') FROM orders UNION SELECT strftime(o_orderdate, '%H:%M') || ' ' FROM orders UNION SELECT substr(o_orderpriority, 1, 1) || o_custkey FROM orders
+ UNION SELECT o_orderstatus || o_orderkey % 100 || ' ' || o_orderkey % 10 || o_orderstatus FROM orders UNION SELECT lower(n_name) || '@mail' || n_regionkey || '.org' FROM nation UNION SELECT n_nationkey || ' ' || n_nationkey || '-' || n_regionkey FROM nation
+ UNION SELECT lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '-12-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') FROM part UNION SELECT strftime(o_orderdate, '%-d') || 'th of ' || lower(o_orderpriority) || ' ' || strftime(o_orderdate, '%Y') FROM orders
+ UNION SELECT 'account ' || c_nationkey FROM customer UNION SELECT lower(n_name) || '.com' FROM nation UNION SELECT 'Home' UNION SELECT 'after' UNION SELECT '3 May' UNION SELECT ' ')"""
+
+
+def values_of_all_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Names, codes, numbers, dates and addresses made of the tables' columns, each once."""
+    t, s = tables(spark, sf), lambda c: F.col(c).cast("string")
+    day = lambda form: F.date_format("o_orderdate", form)
+    of = {
+        "part": ["p_name", "p_brand", "p_type", s("p_partkey"), F.concat(F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.lit("-12-"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"))],
+        "customer": ["c_name", F.concat(F.lit("account "), s("c_nationkey"))],
+        "nation": ["n_name", F.concat(F.lower("n_name"), F.lit("@mail"), s("n_regionkey"), F.lit(".org")), F.concat(s("n_nationkey"), F.lit(" "), s("n_nationkey"), F.lit("-"), s("n_regionkey")), F.concat(F.lower("n_name"), F.lit(".com"))],
+        "orders": [
+            day("yyyy-MM-dd"), day("dd/MM/yyyy"), F.concat(day("HH:mm"), F.lit(" ")), F.concat(F.substring("o_orderpriority", 1, 1), s("o_custkey")),
+            F.concat("o_orderstatus", (F.col("o_orderkey") % 100).cast("string"), F.lit(" "), (F.col("o_orderkey") % 10).cast("string"), "o_orderstatus"),
+            F.concat(day("d"), F.lit("th of "), F.lower("o_orderpriority"), F.lit(" "), day("yyyy")),
+        ],
+    }
+    rows = [t(name).select(F.explode(F.array(*[F.col(c) if isinstance(c, str) else c for c in columns])).alias("value")) for name, columns in of.items()]
+    rows.append(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in ("Home", "after", "3 May", " ")])).alias("value")))
+    return functools.reduce(DataFrame.union, rows).distinct()
+
+
+@query("entity_typing", rf"""WITH {VALUES_SQL}, t AS (SELECT value, trim(value) AS t FROM vals)
+SELECT value, CASE WHEN t = '' THEN 'id' WHEN regexp_matches(t, '{X.EMAIL}') THEN 'email' WHEN regexp_matches(t, '{X.TIME}') THEN 'time' WHEN regexp_matches(t, '{X.SSN}') THEN 'id' WHEN regexp_matches(t, '{X.DATE}') THEN 'date'
+ WHEN regexp_matches(regexp_replace(t, '{X.SEPARATORS}', '', 'g'), '^\d+$') THEN 'id' WHEN regexp_matches(t, '{X.POSTCODE}') AND regexp_matches(t, '\d') AND length(t) <= 8 THEN 'id' ELSE 'name' END AS type FROM t""")
 def entity_typing(spark, sf):
-    df = spark.createDataFrame([(x,) for x in ("a.b@c.org", "12:30", "123-45-6789", "2001-02-03", "42", "SW1A 1", "Alice Smith")], "value string")
-    return df.select("value", X.entity_type(F.col("value")).alias("type"))
+    return values_of_all_kinds(spark, sf).select("value", X.entity_type(F.col("value")).alias("type"))
 
 
 @query("literal_extract", "SELECT * FROM (VALUES (1, 'Alice|O''Neil'), (2, ''), (3, 'say \"x\"')) t(i, found)")
@@ -402,16 +387,34 @@ def literal_extract(spark, sf):
     return df.select("i", F.array_join(X.quoted_literals(F.col("q")), "|").alias("found"))
 
 
-@query("occurrences", "SELECT * FROM (VALUES ('banana', 'ANA', '1,3'), ('aaa', 'a', '0,1,2'), ('abc', 'x', ''), ('abc', '', '')) t(t, p, places)")
+@query("occurrences", """SELECT p_partkey AS k, array_to_string(list_filter(range(0, greatest(length(p_name) - length(p) + 1, 0)), lambda i: substr(lower(p_name), CAST(i AS INTEGER) + 1, length(p)) = lower(p)), ',') AS places
+FROM (SELECT *, upper(substr(p_name, 1 + p_size % 4, 1 + p_size % 2)) AS p FROM part)""")
 def occurrences(spark, sf):
-    df = spark.createDataFrame([("banana", "ANA"), ("aaa", "a"), ("abc", "x"), ("abc", "")], "t string, p string")
-    return df.select("t", "p", F.array_join(F.transform(X.occurrences(F.col("t"), F.col("p")), lambda c: c.cast("string")), ",").alias("places"))
+    part = F.upper(F.substring(F.col("p_name"), 1 + F.col("p_size") % 4, 1 + F.col("p_size") % 2))
+    return tables(spark, sf)("part").select(F.col("p_partkey").alias("k"), F.array_join(F.transform(X.occurrences(F.col("p_name"), part), lambda c: c.cast("string")), ",").alias("places"))
 
 
-@query("acronym", "SELECT * FROM (VALUES ('United States of America', 'USA'), ('Paris', NULL), ('king of the hill', 'KH')) t(s, a)")
+@query("acronym", """WITH f AS (SELECT p_partkey AS k, p_name || ' ' || p_type AS name, CASE p_size % 5 WHEN 0 THEN upper(substr(p_name, 1, 3)) WHEN 1 THEN p_name[1] || '.' || lower(split_part(p_name, ' ', 2)[1]) || '.' || p_type[1] WHEN 2 THEN p_name WHEN 3 THEN p_type ELSE '' END AS form FROM part),
+ i AS (SELECT *, upper(array_to_string(list_transform(regexp_extract_all(name, '[A-Za-z]+'), lambda w: w[1]), '')) AS initials, form = upper(form) AND form <> lower(form) AS caps FROM f)
+SELECT k, CASE WHEN form = '' OR (contains(form, ' ') AND NOT caps) THEN false WHEN caps AND length(form) BETWEEN 2 AND 6 THEN true ELSE replace(upper(form), '.', '') = initials AND length(initials) >= 2 END AS short FROM i""")
 def acronym(spark, sf):
-    df = spark.createDataFrame([("United States of America",), ("Paris",), ("king of the hill",)], "s string")
-    return df.select("s", X.acronym(F.col("s")).alias("a"))
+    n, t = F.col("p_name"), F.col("p_type")
+    first = lambda c: F.substring(c, 1, 1)
+    size = F.col("p_size") % 5
+    form = F.when(size == 0, F.upper(F.substring(n, 1, 3))).when(size == 1, F.concat(first(n), F.lit("."), F.lower(first(F.split_part(n, F.lit(" "), F.lit(2)))), F.lit("."), first(t))).when(size == 2, n).when(size == 3, t).otherwise("")
+    return tables(spark, sf)("part").select(F.col("p_partkey").alias("k"), X.is_acronym(F.concat(n, F.lit(" "), t), form).alias("short"))
+
+
+@query("identifiers", r"""WITH n AS (SELECT DISTINCT o_orderpriority AS s FROM orders UNION SELECT p_name || 'Of' || p_brand FROM part UNION SELECT ':`' || upper(p_name) || '`' FROM part UNION SELECT 'HTTPServer' || p_size || 'isUp' FROM part),
+ i AS (SELECT s, lower(regexp_replace(regexp_replace(s, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS ident FROM n)
+SELECT s, ident AS type_name, lower(regexp_replace(regexp_replace(s, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS prop_name, lower(regexp_replace(regexp_replace(ident, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS label_name FROM i""")
+def identifiers(spark, sf):
+    t = tables(spark, sf)
+    part = t("part")
+    names = t("orders").select(F.col("o_orderpriority").alias("s")).union(part.select(F.concat("p_name", F.lit("Of"), "p_brand")))
+    names = names.union(part.select(F.concat(F.lit(":`"), F.upper("p_name"), F.lit("`")))).union(part.select(F.concat(F.lit("HTTPServer"), F.col("p_size").cast("string"), F.lit("isUp")))).distinct()
+    s = F.col("s")
+    return names.select("s", X.type_identifier(s).alias("type_name"), X.snake_case(s).alias("prop_name"), X.label_identifier(s).alias("label_name"))
 
 
 @query("row_seeds", "SELECT r_name AS name, CAST(('0x' || substr(sha256('42|x|' || r_name), 1, 16))::UBIGINT AS VARCHAR) AS seed FROM region")

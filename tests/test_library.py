@@ -120,7 +120,51 @@ def test_statistics_on_nothing(spark):
 
 def test_grounding_classes(spark):
     df = spark.createDataFrame([("Rome", "rome"), ("Rmoe", "Rome"), ("New", "New York"), ("Big Apple", "New York")], "m string, v string")
-    assert [r[0] for r in df.select(evaluate.grounding_class(F.col("m"), F.col("v"))).collect()] == ["exact_ci", "edit", "substring", "semantic"]
+    assert [r[0] for r in df.select(evaluate.grounding_class(F.col("m"), F.col("v"))).collect()] == ["exact_ci", "edit_distance", "substring", "semantic"]
+
+
+def test_difficulty_of_queries(spark):
+    """Points for the longest path of any pattern, the hardest operation, and all predicates."""
+    cases = {
+        "MATCH (n:Nation) RETURN n.name": (0, 0, 0, "easy"),
+        "MATCH (a)-[:X]->(b), (c)-[:X]->(d) RETURN a": (0, 0, 0, "easy"),  # two paths of one hop
+        "MATCH (a)-->(b)<--(c) RETURN a": (1, 0, 0, "medium"),
+        "MATCH (a)-[:R]->(b)-[:R]->(c)-[:R]->(d)-[:R]->(e) RETURN a": (2, 0, 0, "medium"),
+        "MATCH (a)-[:X*1..3]->(b) RETURN b": (2, 0, 0, "medium"),
+        "MATCH (n) WHERE EXISTS { (n)-[:X]->() } RETURN n": (0, 2, 0, "medium"),
+        "MATCH (n) WHERE EXISTS { MATCH (n) WHERE EXISTS { (n)-[:X]->() } RETURN n } RETURN n": (0, 2, 1, "hard"),
+        "MATCH (n {a: 1}) WHERE n.x = 1 AND n.y = 2 RETURN n": (0, 0, 2, "medium"),
+        "MATCH (a) WHERE a.x = 1 WITH a WHERE a.y = 2 RETURN a": (0, 0, 1, "medium"),
+        "MATCH (a) WHERE a.x = 1 AND a.y = 2 OR a.z = 3 RETURN a": (0, 0, 2, "medium"),
+        "MATCH (a) RETURN coalesce(count(a), 0)": (0, 1, 0, "medium"),
+        "MATCH (a) RETURN a.x, coalesce(count(a), 0)": (0, 2, 0, "medium"),
+        "MATCH (a) RETURN a ORDER BY a.x LIMIT 10": (0, 1, 0, "medium"),
+        "MATCH (a) RETURN a ORDER BY a.x LIMIT 1": (0, 2, 0, "medium"),
+        "MATCH p = shortestPath((a)-[:X]-(b)) RETURN p": (0, 1, 0, "medium"),
+        "MATCH (a)-[:X]->(b)-[:Y]->(c) RETURN a UNION MATCH (a) RETURN a": (1, 2, 0, "hard"),
+        "MATCH (a) WHERE a.x = 'p AND q OR (r)-[*]->(s)' // WHERE AND\nRETURN a": (0, 0, 0, "easy"),
+        "  ": None, None: None,
+    }
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(cases)], "i int, q string").select("i", evaluate.difficulty(F.col("q")).alias("d"))
+    got = {r.i: r.d and (r.d.reach, r.d.op, r.d["filter"], r.d.level) for r in df.collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_entity_types_and_identifiers(spark):
+    types = {
+        "a@b.org": "email", "12:30": "time", "123-45-6789": "id", "2001-2-3": "date", "3/4": "date", "020 7946 0958": "id", "42": "id", "WN5": "id", "BL5 2RN": "id", "Area 51": "name", "Alice Smith": "name", "": "id", " ": "id", None: None,
+    }
+    df = spark.createDataFrame([(v,) for v in types], "v string").select("v", X.entity_type(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == types
+    names = {"JobPosting": "job_posting", "firstName": "first_name", "HTTPServer": "http_server", "tagline": "tagline"}
+    df = spark.createDataFrame([(v,) for v in names], "v string").select("v", X.snake_case(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == names
+    kinds = {"ACTED_IN": "acted_in", ":`ACTED_IN`": "acted_in", "`:HAS WORKED  FOR!`": "has_worked_for"}
+    df = spark.createDataFrame([(v,) for v in kinds], "v string").select("v", X.type_identifier(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == kinds
+    short = [("United States of America", "USoA", True), ("United States", "U.S.", True), ("anything", "ABC", True), ("Paris", "P", False), ("New York City", "new york", False), ("a b", "", False), ("x", "TOO LONG", False)]
+    df = spark.createDataFrame(short, "n string, f string, w boolean").select(X.is_acronym(F.col("n"), F.col("f")).alias("g"), "w")
+    assert all(r.g == r.w for r in df.collect())
 
 
 def test_quota_sampler_converges_and_is_stable():
@@ -228,15 +272,16 @@ def test_text_queries_take_every_row(spark, tmp_path):
 
     texts = [" \n Two\t words\r\n", "Größe  Ünï", "plain", None, ""]
     spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    spark.createDataFrame([("abcd",), ("wxyz",), ("abdc",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.turn: r.t for r in QUERIES["collapse_space_all"](spark, str(tmp_path)).collect()}
+    spark.createDataFrame([("abcd same",), ("wxyz other",), ("abdc same",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.turn: r.t for r in QUERIES["collapse_space"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else " ".join(t.lower().split()) for i, t in enumerate(texts)}
-    got = {r.turn: r.words for r in QUERIES["tokenise_all"](spark, str(tmp_path)).collect()}
+    got = {r.turn: r.words for r in QUERIES["tokenise"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else " ".join(w for w in re.findall(r"\w+", t.lower()) if w not in X.STOPWORDS) for i, t in enumerate(texts)}
-    got = {(r.a, r.b): r.s for r in QUERIES["jaro_winkler_all"](spark, str(tmp_path)).collect()}
-    assert got == {("abcd", "abdc"): round(11 / 12 + 2 * 0.1 * (1 - 11 / 12), 4), ("abcd", "wxyz"): 0.0, ("abdc", "wxyz"): 0.0}
+    got = {(r.a, r.b): r.s for r in QUERIES["jaro_winkler"](spark, str(tmp_path)).collect()}
+    jaro = (2 + 8 / 9) / 3
+    assert got == {("abcd same", "abdc same"): round(jaro + 2 * 0.1 * (1 - jaro), 4)}
 
 
-@pytest.mark.parametrize("name", ["fcav_topk_50", "cosine_topk", "node_profile_all", "rel_profile_all"])
+@pytest.mark.parametrize("name", ["fcav_topk", "cosine_topk", "node_profile", "rel_profile", "difficulty_bucket", "entity_typing", "leak_class", "error_class", "identifiers", "rater_files"])
 def test_oracles_over_whole_tables(spark, name):
     test_oracles(spark, name)
