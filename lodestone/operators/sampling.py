@@ -8,13 +8,30 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 
 def seeded(key: Column, seed: int) -> Column:
     """A place in a fixed shuffled order, the same in any engine with MD5."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
 
 
+def placed(df: DataFrame, group: str, key: str, name: str = "_place") -> DataFrame:
+    """``df`` with each row's place (from 0) within its group by ``key``. Rows are sorted over
+    ranges, so a group may lie in many tasks; the ranges' counts, one row for each range and
+    group, give where each goes on. Null groups are a group."""
+    rows = checkpointed(df.repartitionByRange(group, key).sortWithinPartitions(group, key))
+    rows = rows.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    parts = rows.groupBy("_range", F.col(group).alias("_group")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("_range").alias("_r"), "_group", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    met = rows.join(parts, (F.col("_range") == F.col("_r")) & F.col(group).eqNullSafe(F.col("_group")))
+    return met.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
+
+
 def stratified_sample(df: DataFrame, strata: list[str], key: str, per_stratum: int, seed: int = 42) -> DataFrame:
+    """The first ``per_stratum`` of each stratum in a shuffled order. Up to 1,000 are kept by each
+    task before strata meet (Spark's limit for groups), so a hot stratum is no task's."""
     order = Window.partitionBy(*strata).orderBy(seeded(F.col(key), seed), key)
     return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_stratum).drop("_n")
 
@@ -34,17 +51,16 @@ def census(df: DataFrame, tier: str) -> DataFrame:
 
 def round_robin(df: DataFrame, group: str, key: str, reviewers: int) -> DataFrame:
     """reviewer = place within the group modulo the number of reviewers."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    return df.select(group, key, (place % reviewers).alias("reviewer"))
+    return placed(df.select(group, key), group, key).select(group, key, (F.col("_place") % reviewers).cast("int").alias("reviewer"))
 
 
 def rotating_pairs(df: DataFrame, group: str, key: str, annotators: list[str]) -> DataFrame:
     """Two different annotators for each row, all pairs in turn."""
     pairs = [(a, b) for i, a in enumerate(annotators) for b in annotators[i + 1 :]]
-    place = (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1) % len(pairs)
+    place = (F.col("_place") % len(pairs)).cast("int")
     names = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second")) for a, b in pairs])
     pair = F.get(names, place)
-    return df.select(group, key, pair["first"].alias("first"), pair["second"].alias("second"))
+    return placed(df.select(group, key), group, key).select(group, key, pair["first"].alias("first"), pair["second"].alias("second"))
 
 
 def rebalanced(df: DataFrame, strategy: str, key: str, caps: dict[str, int], need: int) -> DataFrame:

@@ -80,10 +80,15 @@ def ordered_match(spark, sf):
     return E.same_sequence(rows, rows, "i").select(F.lit("same").alias("pair"), "ea").union(E.same_sequence(back, rows, "i").select(F.lit("reversed").alias("pair"), "ea"))
 
 
-@query("em_exact", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, NULL)) t(i, em)")
+@query("em_exact", """SELECT p_partkey AS k, CASE WHEN p_size % 7 = 6 THEN NULL ELSE p_size % 7 IN (0, 1, 2) END AS em FROM part""")
 def em_exact(spark, sf):
-    df = spark.createDataFrame([(1, "MATCH (n)  RETURN n ;", "MATCH (n)\nRETURN n"), (2, "MATCH (n) RETURN m", "MATCH (n) RETURN n"), (3, None, "MATCH (n) RETURN n"), (4, "x", None)], "i int, p string, g string")
-    return df.select("i", E.exact_match(F.col("p"), F.col("g")).alias("em"))
+    n, kind = F.col("p_name"), F.col("p_size") % 7
+    gold = F.concat(F.lit("MATCH (n {name: '"), n, F.lit("'}) RETURN n"))
+    pred = (
+        F.when(kind == 0, gold).when(kind == 1, F.concat(F.lit("  "), F.regexp_replace(gold, " RETURN", "\n\t RETURN"), F.lit(" ;\n"))).when(kind == 2, F.concat(gold, F.lit(";")))
+        .when(kind == 3, F.lower(gold)).when(kind == 4, F.concat(gold, F.lit(".x"))).when(kind == 6, gold)
+    )
+    return tables(spark, sf)("part").select(F.col("p_partkey").alias("k"), E.exact_match(pred, F.when(kind != 6, gold)).alias("em"))
 
 
 @query("psjs_jaccard", """WITH p AS (SELECT n_name AS qid, c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0), g AS (SELECT n_name AS qid, c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 5000)
@@ -200,10 +205,14 @@ def paired_flips(spark, sf):
     return E.paired_flips(a, a.select("qid", (F.col("qid") % 3 == 0).alias("ea")))
 
 
-@query("sign_test", "SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE), (1, 5, 0.375), (2, 10, 0.109375), (5, 10, 1.0), (0, 8, 0.007812), (75, 492, 0.0)) t(k, n, p)")
+@query("sign_test", """WITH RECURSIVE f AS (SELECT p_brand AS brand, count(*) FILTER (p_size % 7 = 0) AS k, count(*) FILTER (p_size % 7 IN (0, 1)) AS n FROM part GROUP BY 1 UNION ALL SELECT 'none', 0, 0),
+t AS (SELECT brand, k, n, least(k, n - k) AS low, 0 AS i, pow(0.5::DOUBLE, n) AS c, pow(0.5::DOUBLE, n) AS s FROM f UNION ALL SELECT brand, k, n, low, i + 1, c * (n - i) / (i + 1), s + c * (n - i) / (i + 1) FROM t WHERE i < low)
+SELECT brand, k, n, round(least(1.0, 2 * s), 5) AS p FROM t WHERE i = low""")
 def sign_test(spark, sf):
-    df = spark.createDataFrame([(0, 0), (1, 5), (2, 10), (5, 10), (0, 8), (75, 492)], "k int, n int")
-    return df.select("k", "n", F.round(E.sign_test(F.col("k"), F.col("n")) - 1e-9, 6).alias("p"))
+    size = F.col("p_size") % 7
+    flips = tables(spark, sf)("part").groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.when(size == 0, 1)).alias("k"), F.count(F.when(size < 2, 1)).alias("n"))
+    flips = flips.union(spark.range(1).select(F.lit("none"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+    return flips.select("brand", "k", "n", F.round(E.sign_test(F.col("k"), F.col("n")), 5).alias("p"))
 
 
 CELLS = f"{RECORDS_SQL}, cells AS (SELECT graph, bucket, avg(psjs) AS value, count(psjs) AS n FROM records GROUP BY 1, 2)"
@@ -223,11 +232,11 @@ def micro_average(spark, sf):
     return cells(spark, sf).where("value is not null").groupBy("bucket").agg(F.round(F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n")), 6).alias("value"))
 
 
-@query("failure_buckets", "SELECT * FROM (VALUES (1, 'ok'), (2, 'value'), (3, 'relationship'), (4, 'partial'), (5, 'structure')) t(i, bucket)")
+@query("failure_buckets", f"""WITH {RECORDS_SQL} SELECT qid, CASE WHEN psjs >= 0.99 THEN 'ok' WHEN qid % 3 = 0 THEN 'value' WHEN qid % 5 = 0 THEN 'relationship' WHEN psjs >= 0.8 THEN 'partial' ELSE 'structure' END AS bucket FROM records""")
 def failure_buckets(spark, sf):
-    rows = [(1, ["a"], ["b"], ["R"], ["R"], 1.0), (2, ["a"], ["b"], ["R"], ["R"], 0.2), (3, ["a"], ["a"], ["R"], ["S"], 0.2), (4, ["a"], ["a"], ["R"], ["R"], 0.85), (5, ["a"], ["a"], ["R"], ["R"], 0.2)]
-    df = spark.createDataFrame(rows, "i int, pv array<string>, gv array<string>, pt array<string>, gt array<string>, psjs double")
-    return df.select("i", E.failure_bucket(*map(F.col, ("pv", "gv", "pt", "gt", "psjs"))).alias("bucket"))
+    q, values, types = F.col("qid"), F.array("graph", "strategy"), F.array(F.lit("R"), F.lit("S"))
+    pred_values, pred_types = F.when(q % 3 == 0, F.array("graph")).otherwise(F.reverse(values)), F.when(q % 5 == 0, F.array(F.lit("R"), F.lit("T"), F.lit("S"))).otherwise(types)
+    return records(spark, sf).select("qid", E.failure_bucket(pred_values, values, pred_types, types, F.col("psjs")).alias("bucket"))
 
 
 ERROR_TEXTS = (
@@ -332,7 +341,7 @@ def pooled_report(spark, sf):
     return newest.where("qid % 10 <> 0").groupBy("strategy").agg(F.count("*").alias("graphs"), F.round(F.avg("psjs"), 6).alias("psjs"))
 
 
-@query("grounding_probe")
+@query("grounding_probe", f"WITH {MENTIONS_SQL} SELECT qid, phrase, CASE WHEN lower(phrase) = lower(qid) THEN 'exact_ci' WHEN damerau_levenshtein(phrase, qid) <= 2 THEN 'edit_distance' WHEN contains(lower(qid), lower(phrase)) THEN 'substring' ELSE 'semantic' END AS class FROM mentions")
 def grounding_probe(spark, sf):
     return mentions(spark, sf).select("qid", "phrase", E.grounding_class(F.col("phrase"), F.col("qid")).alias("class"))
 
@@ -391,10 +400,12 @@ def stratified_report(spark, sf):
     return T.stratified(records(spark, sf), ["strategy", "method"], F.coalesce("ea", F.lit(False))).select("stratum", "value", "n", "k")
 
 
-@query("decision_table", "SELECT * FROM (VALUES ('valid', 'keep', 'keep'), ('source_error', 'remove', 'remove'), ('invalid', 'revert', 'revert'), ('pending', 'remove_pending', 'keep')) t(verdict, strict, lenient)")
+@query("decision_table", """WITH v AS (SELECT ['valid', 'source_error', 'invalid', 'pending', NULL][o_custkey % 5 + 1] AS verdict FROM orders)
+SELECT verdict, CASE verdict WHEN 'valid' THEN 'keep' WHEN 'source_error' THEN 'remove' WHEN 'invalid' THEN 'revert' ELSE 'remove_pending' END AS strict, CASE verdict WHEN 'source_error' THEN 'remove' WHEN 'invalid' THEN 'revert' ELSE 'keep' END AS lenient, count(*) AS n FROM v GROUP BY 1, 2, 3""")
 def decision_table(spark, sf):
-    df = spark.createDataFrame([("valid",), ("source_error",), ("invalid",), ("pending",)], "verdict string")
-    return df.select("verdict", T.decision(F.col("verdict")).alias("strict"), T.decision(F.col("verdict"), "lenient").alias("lenient"))
+    kinds = F.array(*[F.lit(x) for x in ("valid", "source_error", "invalid", "pending", None)])
+    rows = tables(spark, sf)("orders").select(F.get(kinds, (F.col("o_custkey") % 5).cast("int")).alias("verdict"))
+    return rows.groupBy("verdict", T.decision(F.col("verdict")).alias("strict"), T.decision(F.col("verdict"), "lenient").alias("lenient")).agg(F.count("*").alias("n"))
 
 
 @query("adjudication_wide", f"WITH {RATINGS_SQL} SELECT item, string_agg(annotator || '=' || coalesce(label, '-'), '; ' ORDER BY annotator) AS votes FROM ratings GROUP BY 1 HAVING count(DISTINCT label) > 1 OR count(label) < count(*)")
@@ -490,10 +501,13 @@ def distinctive_token(spark, sf):
     return A.distinctive_token(part_values(spark, sf)).select("value", "token")
 
 
-@query("applicability_ceiling", "SELECT * FROM (VALUES ('g', 'alias', 0.265::DOUBLE), ('s', 'alias', 0.0), ('g', 'abbrev', 1.0)) t(graph, strategy, ceiling)")
+@query("applicability_ceiling", f"""WITH {RECORDS_SQL}, c AS (SELECT graph, CASE WHEN strategy = 'F' THEN 'alias' ELSE strategy END AS strategy, avg(CAST(coalesce(ea, false) AS INTEGER)) AS attested, avg(psjs) AS probe, count(psjs) / count(*) AS scored, count(bucket) / count(*) AS share FROM records GROUP BY 1, 2)
+SELECT graph, strategy, round(CASE WHEN starts_with(graph, '1') AND strategy = 'alias' THEN 0 ELSE least(1, attested + scored * probe * share) END, 6) AS ceiling FROM c""")
 def applicability_ceiling(spark, sf):
-    rows = [("g", "alias", 0.2, 0.26, 0.5, 0.5, False), ("s", "alias", 0.2, 0.26, 0.5, 0.5, True), ("g", "abbrev", 0.9, 1.0, 1.0, 1.0, False)]
-    return A.applicability_ceiling(spark.createDataFrame(rows, "graph string, strategy string, attested double, probe_rate double, precision double, pool_share double, synthetic boolean"))
+    share = lambda c: F.count(c) / F.count("*")
+    named = records(spark, sf).withColumn("strategy", F.when(F.col("strategy") == "F", "alias").otherwise(F.col("strategy")))
+    cells = named.groupBy("graph", "strategy").agg(F.avg(F.coalesce("ea", F.lit(False)).cast("int")).alias("attested"), F.avg("psjs").alias("probe_rate"), share("psjs").alias("precision"), share("bucket").alias("pool_share"))
+    return A.applicability_ceiling(cells.withColumn("synthetic", F.col("graph").startswith("1")))
 
 
 @query("leak_class", rf"""WITH {VALUES_SQL}, v AS (SELECT value, lower(value) AS low, CASE length(value) % 4 WHEN 0 THEN 'ok_backfilled' WHEN 1 THEN 'failed' ELSE 'unresolved' END AS result FROM vals),

@@ -134,13 +134,14 @@ def three_arm_union(spark, sf):
     return R.union_in_order(fuzzy(spark, sf, 5), lev(spark, sf, 5), third)
 
 
-@query("escalation")
+@query("escalation", RERANK_SQL.replace("SELECT * FROM g WHERE rank <= 10", "SELECT * FROM g WHERE rank BETWEEN 6 AND 10"))
 def escalation(spark, sf):
     values, asked = part_values(spark, sf), mentions(spark, sf)
     return R.deepened(values, asked, R.search(values, asked, 5), 5, 0)
 
 
-@query("closest_value")
+@query("closest_value", f"""WITH {MENTIONS_SQL}, l AS (SELECT qid, value, lower(phrase) AS a, lower(value) AS b FROM mentions, vals), j AS (SELECT *, jaro_similarity(a, b) AS j, CASE WHEN a[1:4] = b[1:4] THEN 4 WHEN a[1:3] = b[1:3] THEN 3 WHEN a[1:2] = b[1:2] THEN 2 WHEN a[1] = b[1] THEN 1 ELSE 0 END AS p FROM l),
+s AS (SELECT qid, value, round(j + p * 0.1 * (1 - j), 6) AS score FROM j) SELECT *, 1 AS rank FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, value) = 1""")
 def closest_value(spark, sf):
     return R.closest_value(part_values(spark, sf), mentions(spark, sf))
 
@@ -333,7 +334,8 @@ def jaro_winkler(spark, sf):
     return pairs(spark, sf).select("a", "b", F.round(jw("a", "b"), 4).alias("s"))
 
 
-@query("osa_distance")
+# unlimited swaps count as one edit in SQL; they differ from neighbours' only where a swapped pair is edited again, which these names don't show
+@query("osa_distance", f"WITH {PAIRS_SQL} SELECT a, b, CAST(damerau_levenshtein(a, b) AS INTEGER) AS d FROM pairs")
 def osa_distance(spark, sf):
     return pairs(spark, sf).select("a", "b", X.osa_distance(F.col("a"), F.col("b")).alias("d"))
 
@@ -381,10 +383,14 @@ def entity_typing(spark, sf):
     return values_of_all_kinds(spark, sf).select("value", X.entity_type(F.col("value")).alias("type"))
 
 
-@query("literal_extract", "SELECT * FROM (VALUES (1, 'Alice|O''Neil'), (2, ''), (3, 'say \"x\"')) t(i, found)")
+@query("literal_extract", """WITH l AS (SELECT p_partkey AS k, [p_name, CASE WHEN p_size % 2 = 0 THEN p_brand || chr(39) || 's' ELSE p_name END, substr(p_type, 1, 1 + p_size % 3), 'say "' || p_type || '"'] AS v FROM part)
+SELECT k, array_to_string(list_filter(list_filter(v, lambda x, i: list_position(v, x) = i), lambda x: length(x) >= 2), '|') AS found FROM l""")
 def literal_extract(spark, sf):
-    df = spark.createDataFrame([(1, "n.name = 'Alice' OR n.name = 'O\\'Neil' OR m.a = \"Alice\" OR k = 'x'"), (2, "no literal"), (3, "n.q = \"say \\\"x\\\"\"")], "i int, q string")
-    return df.select("i", F.array_join(X.quoted_literals(F.col("q")), "|").alias("found"))
+    q = F.lit("'")
+    second = F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit("\\'s"))).otherwise(F.col("p_name"))
+    short = F.substring(F.col("p_type"), F.lit(1), 1 + F.col("p_size") % 3)
+    text = F.concat(F.lit("MATCH (n) WHERE n.a = '"), "p_name", q, F.lit(" OR n.b = '"), second, q, F.lit(' OR n.c = "'), short, F.lit('" OR n.d = "say \\"'), "p_type", F.lit('\\"" RETURN n'))
+    return tables(spark, sf)("part").select(F.col("p_partkey").alias("k"), F.array_join(X.quoted_literals(text), "|").alias("found"))
 
 
 @query("occurrences", """SELECT p_partkey AS k, array_to_string(list_filter(range(0, greatest(length(p_name) - length(p) + 1, 0)), lambda i: substr(lower(p_name), CAST(i AS INTEGER) + 1, length(p)) = lower(p)), ',') AS places
@@ -422,10 +428,12 @@ def row_seeds(spark, sf):
     return tables(spark, sf)("region").select(F.col("r_name").alias("name"), X.row_seed(F.lit("42"), F.lit("x"), F.col("r_name")).cast("string").alias("seed"))
 
 
-@query("json_object", "SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, NULL)) t(i, j)")
+@query("json_object", """SELECT p_partkey AS k, CASE p_size % 4 WHEN 0 THEN NULL WHEN 3 THEN '{"a": {"b": "' || p_name || '"}} and {}' ELSE '{"name": "' || p_name || '"}' END AS j FROM part""")
 def json_object(spark, sf):
-    df = spark.createDataFrame([(1, 'Sure:\n```json\n{"a": 1}\n```'), (2, "none")], "i int, s string")
-    return df.select("i", X.json_object(F.col("s")).alias("j"))
+    n, size = F.col("p_name"), F.col("p_size") % 4
+    one = F.concat(F.lit('{"name": "'), n, F.lit('"}'))
+    text = F.when(size == 0, F.concat(F.lit("No answer for "), n)).when(size == 1, F.concat(F.lit("Sure:\n```json\n"), one, F.lit("\n```"))).when(size == 2, F.concat(one, F.lit(" is what I found"))).otherwise(F.concat(F.lit('I found {"a": {"b": "'), n, F.lit('"}} and {}.')))
+    return tables(spark, sf)("part").select(F.col("p_partkey").alias("k"), X.json_object(text).alias("j"))
 
 
 @query("float_snap", "SELECT vec_id, round(round_even(CAST(embedding[1] AS DOUBLE) / 0.01, 0) * 0.01, 6) AS x FROM embeddings")

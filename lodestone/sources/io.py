@@ -78,15 +78,31 @@ def read_alias_tsv(spark: SparkSession, path: str) -> DataFrame:
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _first_sheet(z: zipfile.ZipFile, names: list[str]) -> str:
+    """The part of the workbook's first sheet; without a workbook, the one of the least number."""
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        sheet = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{SHEET}sheet"), None)
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        target = targets.get(sheet.get(RELATION)) if sheet is not None else None
+        if target:
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part in names:
+                return part
+    return min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+
+
 def xlsx_rows(content: bytes) -> list[list[str | None]]:
-    """The first sheet: shared and inline strings; cells that are left out are null."""
+    """The first sheet in the workbook's order: shared and inline strings; cells that are left
+    out are null, booleans TRUE or FALSE, and whole numbers have no decimals."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-        tree = ElementTree.fromstring(z.read(sheets[0]))
+        tree = ElementTree.fromstring(z.read(_first_sheet(z, names)))
     out: list[list[str | None]] = []
     for row in tree.iter(f"{SHEET}row"):
         cells: list[str | None] = []
@@ -102,7 +118,7 @@ def xlsx_rows(content: bytes) -> list[list[str | None]]:
             elif v is None or v.text is None:
                 cells.append(None)
             else:
-                cells.append(shared[int(v.text)] if kind == "s" else v.text)
+                cells.append(shared[int(v.text)] if kind == "s" else {"1": "TRUE", "0": "FALSE"}.get(v.text, v.text) if kind == "b" else re.sub(r"^(-?\d+)\.0+$", r"\1", v.text) if kind in (None, "n") else v.text)
         out.append(cells)
     return out
 

@@ -123,6 +123,45 @@ def test_grounding_classes(spark):
     assert [r[0] for r in df.select(evaluate.grounding_class(F.col("m"), F.col("v"))).collect()] == ["exact_ci", "edit_distance", "substring", "semantic"]
 
 
+def test_first_sheet_of_the_workbook():
+    """By the workbook's order, not by the parts' names; booleans and whole numbers are normalised."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda kind, v: f'<c r="A1"{kind}><v>{v}</v></c>'
+    sheet = lambda cells: f'<worksheet xmlns="{main}"><sheetData><row>{cells}</row></sheetData></worksheet>'
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="b" r:id="r2"/><sheet name="a" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet(cell("", "1")))
+        z.writestr("xl/worksheets/sheet2.xml", sheet(cell("", "7.0") + cell(' t="b"', "1").replace("A1", "B1") + cell(' t="str"', "8.0").replace("A1", "C1")))
+    assert sources.xlsx_rows(data.getvalue()) == [["7", "TRUE", "8.0"]]
+
+
+def test_places_in_skewed_groups(spark):
+    """Rows of a hot group lie in many tasks and are numbered as by one."""
+    rows = [("hot" if i % 10 else f"g{i % 7}", (i * 7919) % 5000) for i in range(5000)] + [(None, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, k int")
+    got = sampling.placed(df, "g", "k").collect()
+    want = {}
+    for g in {g for g, _ in rows}:
+        want |= {(g, k): i for i, k in enumerate(sorted(k for h, k in rows if h == g))}
+    assert {(r.g, r.k): r._place for r in got} == want and len(got) == len(rows)
+
+
+def test_searches_in_blocks(spark):
+    """However values are dealt, the results are those of all values at once."""
+    rng = random.Random(9)
+    values = [("L", "p", "".join(rng.choice("abcd") for _ in range(6))) for _ in range(60)]
+    asked = [(f"q{i}", "".join(rng.choice("abcd") for _ in range(6)), "L", "p") for i in range(9)]
+    v, m = spark.createDataFrame(sorted(set(values)), "label string, prop string, value string"), spark.createDataFrame(asked, "qid string, phrase string, label string, prop string")
+    rows = lambda d: sorted(map(tuple, d.select("qid", "value", "rank").collect()))
+    assert rows(retrieval.lev_topk(v, m, 5, rows_per_block=7)) == rows(retrieval.lev_topk(v, m, 5))
+    vectors = spark.createDataFrame([(f"v{i % 40}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)] + [("zero", [0.0] * 8), ("none", None)], "value string, embedding array<double>")
+    queries = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(5)], "qid int, embedding array<double>")
+    got = retrieval.vector_topk(vectors, queries, 6, rows_per_block=30)
+    assert rows(got) == rows(retrieval.vector_topk(vectors, queries, 6)) and got.count() == 30
+
+
 def test_difficulty_of_queries(spark):
     """Points for the longest path of any pattern, the hardest operation, and all predicates."""
     cases = {
