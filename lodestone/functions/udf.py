@@ -78,26 +78,37 @@ def word_occurrences(text: str, part: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(left + re.escape(part) + right, text, re.I)]
 
 
+ARTICLES = ("the", "a", "an")
+DOUBLED = re.compile(r"\b(\w+)\s+\1\b", re.I)
+
+
 def spliced(text: str, part: str, new: str) -> str | None:
-    """``text`` with the first whole-word ``part`` replaced; a or an before it follows the
-    new word's sound, and a word that would stand twice is left once. None: no place."""
+    """``text`` with the first whole-word ``part`` replaced. After an article the new text's own
+    is left out; a or an follows the new word's sound; a word that would stand twice at
+    either seam is left once. None where there is no place, nothing is left, or a word or
+    an article would still be doubled that wasn't before."""
     spots = word_occurrences(text, part)
     if not spots:
         return None
-    start, end = spots[0]
-    before, after = text[:start], text[end:]
-    m = re.search(r"\b(an?)(\s+)$", before, re.I)
-    if m and new[:1].isalpha():
-        article = "an" if new[0].lower() in "aeiou" else "a"
-        before = before[: m.start()] + (article.capitalize() if m[1][0].isupper() else article) + m[2]
-    first, last = re.match(r"\w+", new), re.search(r"\w+$", new)
-    word = re.search(r"(\w+)(\s+)$", before)
-    if first and word and word[1].lower() == first[0].lower():
-        before = before[: word.start()]
-    word = re.match(r"\s+(\w+)", after)
-    if last and word and word[1].lower() == last[0].lower():
-        after = after[word.end() :]
-    return before + new + after
+    before, after, words = text[: spots[0][0]], text[spots[0][1] :], new.split()
+    last = re.search(r"(\S+)\s*$", before)
+    said = last[1].lower() if last else ""
+    if said in ARTICLES and words and words[0].lower() in ARTICLES:
+        del words[0]
+    if said in ("a", "an") and words:
+        said = "an" if words[0].lstrip("\"'([")[:1].lower() in tuple("aeiou") else "a"
+        before = before[: last.start(1)] + (said.capitalize() if last[1][0].isupper() else said) + before[last.end(1) :]
+    if words and words[0].lower() == said:
+        del words[0]
+    if not words:
+        return None
+    following = re.match(r"\s*(\S+)", after)
+    if following and following[1].lower() == words[-1].lower():
+        after = after[: following.start(1)] + after[following.end(1) :]
+    out = before + " ".join(words) + after
+    if any(m[1].lower() in ARTICLES for m in DOUBLED.finditer(out)) or (DOUBLED.search(out) and not DOUBLED.search(text)):
+        return None
+    return out
 
 
 def _splice(text: pd.Series, part: pd.Series, new: pd.Series) -> pd.Series:

@@ -41,7 +41,11 @@ def test_lev_similarity_edges(spark):
 
 def test_splicing():
     assert spliced("an old car", "old car", "new car") == "a new car" and spliced("a car", "car", "apple") == "an apple"
-    assert spliced("the the cat", "cat", "the dog") == "the the dog" and spliced("scar", "car", "x") is None
+    assert spliced("the cat", "cat", "the dog") == "the dog" and spliced("scar", "car", "x") is None
+    assert spliced("the the cat", "cat", "dog") is None  # an article is doubled
+    assert spliced("An old car", "old car", "the apple") == "An apple" and spliced("a cat", "cat", "the") is None
+    assert spliced("Bank of Rome today", "Rome", "of Rome") == "Bank of Rome today" and spliced("in Rome city", "Rome", "Rome city") == "in Rome city "
+    assert spliced("see it", "it", "x x") is None and spliced("so so it", "it", "x x") == "so so x x"
     assert word_occurrences("Cats and cat", "cat") == [(0, 3), (9, 12)]
 
 
