@@ -52,7 +52,7 @@ class Transducer:
     ``merged(a, b)`` its result. Every token must be what the merges make of its symbols.
     """
 
-    def __init__(self, symbols_of: dict[int, tuple[int, ...]], merge_rank: Callable, merged: Callable, most_states: int = 400_000, lookahead: int = 4096):
+    def __init__(self, symbols_of: dict[int, tuple[int, ...]], merge_rank: Callable, merged: Callable, most_states: int = 300_000, lookahead: int = 4096):
         self.merge_rank, self.merged = merge_rank, merged
         self.symbols_of = symbols_of
         self.single = {s[0]: t for t, s in symbols_of.items() if len(s) == 1}

@@ -143,7 +143,7 @@ def _pieces(path: str, window: int, piece: int, end: int, batches: Iterator[pa.R
     words = shared_words(path)
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
-        for i, j in portions(offsets):
+        for i, j in portions(offsets, 1_000_000):
             ids, counts = words.encode_column(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             ids = np.insert(ids, np.cumsum(counts), end).astype("<u4")
             rows, out, at = [], [], 0
@@ -236,5 +236,6 @@ def pack(docs: DataFrame, path: str, window: int = 2048, piece: int = 512, end:
     columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = cut(map_arrow(text_of(docs, "doc_id"), partial(_pieces, path, window, piece, end), columns))
     parts = max(1, math.ceil(pieces.count() / group_size))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(parts)))
+    # by their places in what was written, so that repeated rows don't meet in one group
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(partial(_packed, window=window), f"{columns}, sequence_id long, offset long")
