@@ -1,8 +1,10 @@
 """Toxicity: a linear classifier with a counterfactual penalty.
 
-Words that separate the labels best are its features. For each labelled sentence with an
-identity term, sentences with the term swapped for others are made, and the squared
-change of the score is penalised; so a group's mere mention has no weight of its own.
+Words that separate the labels best are its features, and all identity terms, seen or
+not. Of each labelled sentence with an identity term others are made, in which the term
+is swapped for each other one of its kind and for none; the squared change of the score
+(before the logistic function) is penalised, with the sentence's own weight. So a
+group's mere mention has next to no weight, however the labels fall.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _powers, portions, text_bytes
-from .common import bucket_of, map_arrow, text_of
+from .common import bucket_of, cut, map_arrow, text_of
 from .langid import folded
 
 #: Identity terms by the kind within which they are swapped.
@@ -75,52 +77,62 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def swaps(words: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of feature places whose words are identity terms of one kind."""
+def counterfactuals(words: np.ndarray, doc: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sentences that come of swapping: (text, feature that goes, feature that comes or
+    -1, share of this sentence among those of one text and term). ``doc`` and ``col`` are the
+    features of the texts. A term that the text has already, or none, adds nothing. The
+    sentence with none has half of the share: it alone holds a whole kind of terms down."""
     place = {int(h): i for i, h in enumerate(words)}
-    groups = [[place[h] for h in map(hash_of, g) if h in place] for g in IDENTITY_TERMS]
-    return [(a, b) for g in groups for a in g for b in g if a < b]
-
-
-def train(texts: list[np.ndarray], labels: np.ndarray, features: int = 2048, ridge: float = 2e-3, fairness: float = 1.0, rounds: int = 300) -> ToxicityModel:
+    has = set(zip(doc.tolist(), col.tolist()))
+    made = []
+    for group in IDENTITY_TERMS:
+        own = [place[hash_of(t)] for t in group]
+        for text, out in zip(*(x[np.isin(col, own)].tolist() for x in (doc, col))):
+            come = [-1 if (text, t) in has else t for t in own if t != out] + [-1]
+            made += [(text, out, t, 0.5 / (len(come) - 1) if i < len(come) - 1 else 0.5) for i, t in enumerate(come)]
+    text, out, come, share = zip(*made) if made else ((),) * 4
+    return np.array(text, int), np.array(out, int), np.array(come, int), np.array(share, float)
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, features: int = 2048, ridge: float = 2e-3, fairness: float = 5.0, rounds: int = 300) -> ToxicityModel:
     """``texts``: each text's distinct word hashes. Features are the words with the largest
     chi-square against the labels among those of at least four texts, and every identity
-    term. ``fairness`` weighs the mean squared score change over all swaps of identity
-    terms that occur in the texts."""
+    term. ``fairness`` weighs the squared score change of the counterfactual sentences."""
     n, toxic = len(labels), labels.astype(bool)
     base = float(np.clip(toxic.mean() if n else 0.0, 1e-3, 1 - 1e-3))
     bias = float(np.log(base / (1 - base)))
     if not n or toxic.all() or not toxic.any():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), bias)
+    terms = np.unique(np.array([hash_of(t) for g in IDENTITY_TERMS for t in g], np.uint64))
     flat = np.concatenate([*texts, np.zeros(0, np.uint64)])
     doc = np.repeat(np.arange(n), [len(t) for t in texts])
-    words, at = np.unique(flat, return_inverse=True)
+    words, at = np.unique(np.concatenate([flat, terms]), return_inverse=True)
+    at = at[: len(flat)]
     df = np.bincount(at, minlength=len(words)).astype(np.float64)
     hits = np.bincount(at, toxic[doc].astype(np.float64), minlength=len(words))
     n1 = toxic.sum()
     a, b, c, d = hits, df - hits, n1 - hits, n - n1 - (df - hits)
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    identity = np.isin(words, np.array([hash_of(t) for g in IDENTITY_TERMS for t in g], np.uint64))
+    identity = np.isin(words, terms)
     chosen = np.flatnonzero((df >= 4) & (chi >= 15) | identity)
-    chosen = np.sort(chosen[np.argsort(-np.where(identity[chosen], np.inf, chi[chosen]), kind="stable")[:features]])
+    chosen = np.sort(chosen[np.argsort(-np.where(identity[chosen], np.inf, chi[chosen]), kind="stable")[: max(features, len(terms))]])
     words, slot = words[chosen], np.full(len(words), -1)
     slot[chosen] = np.arange(len(chosen))
     keep = slot[at] >= 0
     doc, col = doc[keep], slot[at][keep]
-    pairs = swaps(words)
-    present = np.bincount(col, minlength=len(words))
-    swap_a, swap_b = np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
-    swap_n = (present[swap_a] + present[swap_b]) / max(1, present[swap_a].sum() + present[swap_b].sum()) if pairs else np.zeros(0)
     y = toxic.astype(np.float64)
     weight = np.where(toxic, 0.5 / n1, 0.5 / (n - n1))
+    text, out, come, share = counterfactuals(words, doc, col)
+    kinds, same = np.unique(out * (len(words) + 1) + come + 1, return_inverse=True)  # sentences with the same change
+    out, come, pull = kinds // (len(words) + 1), kinds % (len(words) + 1) - 1, 2 * fairness * np.bincount(same, weight[text] * share, minlength=len(kinds))
+    real = come >= 0
     w, b0, m, v = np.zeros(len(words)), bias, np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for i in range(1, rounds + 1):
         logit = b0 + np.bincount(doc, w[col], minlength=n)
         slope = weight * (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y)
         g = np.bincount(col, slope[doc], minlength=len(words)) + ridge * w / max(1.0, len(words) ** 0.5)
-        if pairs:  # a swap takes one term's weight away and adds the other's
-            change = 2 * fairness * swap_n * (w[swap_a] - w[swap_b])
-            g += np.bincount(swap_a, change, minlength=len(words)) - np.bincount(swap_b, change, minlength=len(words))
+        change = pull * (w[out] - np.where(real, w[come], 0.0))
+        g += np.bincount(out, change, minlength=len(words)) - np.bincount(come[real], change[real], minlength=len(words))
         g = np.r_[g, slope.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-9)
@@ -139,16 +151,24 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8000) -> ToxicityModel:
-    """A model of the labelled rows: of those with a label of 0 or 1, about ``most_rows``
-    are taken by a hash of their id, and come to the driver as their distinct words. Null
-    text is empty; without rows of both labels the score is the same for all texts."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
-    share = most_rows / max(most_rows, known.count())
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * float(1 << 30))
-    rows = drawn.hint("broadcast").join(docs.select("doc_id", "text"), "doc_id")  # bounded by most_rows
-    rows = map_arrow(text_of(rows, "toxic"), _words_of, "toxic int, words binary").collect()
-    rows.sort(key=lambda r: (r["toxic"], bytes(r["words"])))
-    return train([np.frombuffer(bytes(r["words"]), np.uint64) for r in rows], np.array([r["toxic"] for r in rows], int))
+    """A model of the labelled rows: of the different ids and labels (0 or 1), those with the
+    least hashes, ``most_rows`` at most; of their different texts again as many by a hash of
+    the text, however often ids or texts are repeated. They come to the driver as their
+    distinct words. Null text is empty; without rows of both labels the score is the same
+    for all texts."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+
+    def thinned(rows: DataFrame, number: int, key: Column) -> DataFrame:  # about most_rows of them, so that few are ordered
+        return rows.where(F.pmod(key, F.lit(1 << 30)) < 1.2 * most_rows / max(1, number) * float(1 << 30))
+
+    order = F.xxhash64("doc_id", "toxic", F.lit(7))
+    drawn = cut(thinned(known, known.count(), order).orderBy(order, "doc_id", "toxic").limit(most_rows))
+    rows = F.broadcast(drawn).join(docs.select("doc_id", "text"), "doc_id")  # most_rows ids are sent
+    by_text = F.xxhash64("text", "toxic")
+    rows = thinned(rows, docs.select("doc_id").join(F.broadcast(drawn), "doc_id").count(), by_text)
+    found = map_arrow(text_of(rows, "toxic"), _words_of, "toxic int, words binary").distinct()
+    taken = found.orderBy(F.xxhash64("words"), "toxic", "words").limit(most_rows).collect()
+    return train([np.frombuffer(bytes(r["words"]), np.uint64) for r in taken], np.array([r["toxic"] for r in taken], int))
 
 
 def _scored(model: ToxicityModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
