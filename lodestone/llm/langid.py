@@ -6,6 +6,7 @@ documented sample of rows for each language; prediction runs over all rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -13,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import portions, text_bytes
@@ -147,25 +148,38 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed], names=["lang", "x"])
 
 
-def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 64) -> LanguageModel:
-    """A model of rows with text and lang, of every value of lang. For training, about
-    ``per_language`` rows of each language are taken by a hash of their id and text; with over
-    ``most_languages`` languages fewer of each, so that the sample does not grow with their
-    number (but 20 of each are taken). Rows with null text or lang are left out; without any
-    row the model knows no language."""
-    known = docs.where("text is not null and lang is not null")
-    counts = cut(known.groupBy("lang").agg(F.count("*").alias("_rows")))
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows of a task, pickled; no row for none."""
+    rows = [(k, v) for batch in batches for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    if rows:
+        rows.sort()
+        x = np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(len(rows), SIZE)
+        m = train(x, [k for k, _ in rows])
+        made = pickle.dumps((m.families, m.members, m.family_weights, m.pair_weights))
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
+
+
+def fit(docs: DataFrame, per_language: int = 400, most_rows: int = 12_800) -> LanguageModel:
+    """A model of rows with text and lang, of every value of lang. For training, the
+    ``per_language`` different texts of each language with the least hashes are taken, with
+    many languages fewer of each, so that they are ``most_rows`` in all (but 20 of each are
+    taken). Copies of a text count once. A task trains on them; only the weights come to the
+    driver. Rows with null text or lang are left out; without any row the model knows no
+    language."""
+    known = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
+    counts = cut(known.groupBy("lang").agg(F.approx_count_distinct("_h", 0.02).alias("_texts")))
     languages = counts.count()
     if not languages:
         return LanguageModel()
-    each = max(min(per_language, 20), min(per_language, per_language * most_languages // languages))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(each)) / F.col("_rows") * float(1 << 30)
-    rows = map_arrow(known.join(F.broadcast(counts), "lang").where(drawn).select("lang", "text"), _features, "lang string, x binary").collect()
-    if not rows:
-        return LanguageModel()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), SIZE)
-    return train(x, [r["lang"] for r in rows])
+    each = max(min(per_language, 20), min(per_language, most_rows // languages))
+    few = F.broadcast(counts) if languages <= 10_000 else counts
+    drawn = known.join(few, "lang").where(F.pmod("_h", F.lit(1 << 30)) < 1.2 * each / F.greatest("_texts", F.lit(1)) * float(1 << 30))
+    once = drawn.groupBy("lang", "_h").agg(F.first("text").alias("text"))  # copies meet before they are sent
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
+    taken = once.withColumn("_place", place).where(F.col("_place") <= each).select("lang", "text")
+    rows = map_arrow(taken, _features, "lang string, x binary").repartition(1)
+    made = map_arrow(rows, _trained, "model binary").first()
+    return LanguageModel(*pickle.loads(bytes(made["model"]))) if made else LanguageModel()
 
 
 def _predicted(model: LanguageModel, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
