@@ -161,15 +161,18 @@ def _email(m: Column, key: str) -> Column:
 REPLACE = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
 
 
-def pseudonymised(docs: DataFrame, key: str = "lodestone", text: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and an array column ``pii`` of
     (kind, value, pseudonym) in the order of the text.
 
     Null text stays null, with no entries; empty text stays empty. Rows are kept as they
     are, repeated ones too; a column named pii is replaced; an empty table stays empty.
     Matches that don't validate stay in the text. ``key`` is the secret: the same key
-    gives the same pseudonyms in any run.
+    gives the same pseudonyms in any run, and whoever has it can invert them. An empty key
+    is an error.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     names = [c for c in docs.columns if c not in ("pii", "_found")]
     found = F.when(F.col(text).contains("@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)))
     found = docs.select(*names, F.when(F.col(text).rlike("[0-9@]"), found).otherwise(F.array().cast("array<string>")).alias("_found"))
@@ -195,7 +198,7 @@ def pseudonymised(docs: DataFrame, key: str = "lodestone", text: str = "text") -
     return found.select(*columns, F.filter("pii", lambda p: p["pseudonym"].isNotNull()).alias("pii"))
 
 
-def summary(docs: DataFrame, key: str = "lodestone") -> DataFrame:
+def summary(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_pii, n_<kind> ..., pseudonyms) of every row."""
     counts = [number_of("pii", k).alias(f"n_{k}") for k in KINDS]
     done = pseudonymised(docs.select("doc_id", "text"), key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,13 +25,25 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+#: The key where the session's configuration has none: for the synthetic tables only, as it is no secret.
+KEY, KEY_OF_TESTS = "spark.lodestone.pii.key", "synthetic tables only"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of pseudonyms, by the session's configuration."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        warnings.warn(f"{KEY} is not set: pseudonyms are made with a key that is no secret", stacklevel=2)
+    return key or KEY_OF_TESTS
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"), words=4, max_distance=4)
     return groups.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.summary(read_table(spark, sf_dir, "documents"))
+    return pii.summary(read_table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
