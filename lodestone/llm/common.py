@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -19,10 +20,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set."""
+    """The shared folder of the session. Only a local session without one gets a folder of its
+    own; on a cluster it would be out of the executors' reach."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
@@ -35,6 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark's own file systems have it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(df: DataFrame) -> None:
+    """Lets go of what finished steps have shuffled: Spark deletes those files when the driver
+    has collected what referred to them, which an idle driver does too seldom."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+
+
 def process_cache() -> dict:
     """A dictionary that lives as long as this Python process, over tasks."""
     name = "_lodestone_process_cache"

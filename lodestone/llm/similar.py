@@ -9,17 +9,18 @@ components.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, text_of
+from .bpe import ragged
+from .common import cut, map_arrow, release, text_of
 from .components import connected_components
 from .simhash import _grouped, _words, fingerprint_links, majority, shingle_hashes
 
@@ -153,79 +154,143 @@ def _met(rows: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
     return cut(_ordered(found.where("a <> b"), "a", "b")), found.where("a = b").select(F.col("a").alias("node"), "cell").distinct()
 
 
-#: Shingles that a sample of crowded texts shows to be common; they only set an order.
-COMMON, SAMPLE = 16_384, 20_000
+#: The cells of members of crowded cells: a pair of similarity 0.8 shares none with a probability of 1.2e-5, one of 0.5 shares one with 0.09.
+DEEP_BANDS, DEEP_DEPTH = 100, 10
+#: Rows, and shingles of their sets, of a block of a crowd (in expectation).
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], similarity: float, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(token, node, root, size): of each set the shingles that come first, rarest first. Two
-    sets of the similarity share ceil(similarity * size) shingles at least, so they share one
-    of these, whatever the order is."""
+def _deep_cells(batches: Iterator[pa.RecordBatch], bands: int, depth: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, roots = (np.asarray(batch.column(i)) for i in (0, 1))
-        for node, root, value in zip(nodes, roots, batch.column(2)):
-            tokens = np.asarray(value.values)
-            at = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
-            often = np.where(common[at] == tokens, counts[at], 0) if len(common) else np.zeros(len(tokens), np.int64)
-            n = len(tokens)
-            first = tokens[np.lexsort((tokens, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
-            same = [pa.array(np.full(len(first), x, np.int64)) for x in (node, root, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(first), *same], names=["token", "node", "root", "size"])
-
-
-def prefix_pairs(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): of the nodes of ``sets`` all pairs that ``links`` don't connect yet and that can
-    have the similarity by their sizes and first shingles. None is left out, so after they
-    are verified the components are those of all pairs.
-
-    Of a shingle's holders those in its most frequent component aren't paired with each
-    other; copies of one text are connected before and cost nothing here.
+        for node, value in zip(batch.column(0), batch.column(1)):
+            cells = pa.array(band_keys(np.asarray(value.values).view(np.uint64), bands, depth), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(cells), pa.int64()), cells], names=["node", "cell"])
+
+
+def _starred(crowded: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``links`` with those between members of crowded cells and a head, the one in most crowded
+    cells: of many copies of a text, the text itself."""
+    seen = crowded.groupBy("node").count()
+    heads = crowded.join(seen, "node").groupBy("cell").agg(F.max(F.struct("count", "node")).alias("m")).select("cell", F.col("m.node").alias("head"))
+    star = crowded.join(heads, "cell").where("node <> head")
+    return links.union(verified(cut(_ordered(star, "node", "head")), sets, similarity))
+
+
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of rows (node, cell), with their root, those of cells that hold more than one component."""
+    rooted = cut(rows.join(roots, "node", "left").select("node", "cell", F.coalesce("root", "node").alias("root")))
+    several = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    return cut(rooted.join(several, "cell").select("node", "cell", "root"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different components."""
+    met = pairs.join(roots.toDF("a", "p"), "a", "left").join(roots.toDF("b", "q"), "b", "left")
+    return cut(met.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b"))
+
+
+def _crossing(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links between rows of two blocks, by an index from shingles to the rows of the right one:
+    only such as join components that were apart, so no more than there are rows."""
+    links, parent = [], {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    if len(left) and len(right):
+        sizes = right["hashes"].map(len).to_numpy()
+        flat = np.concatenate(right["hashes"].to_list())
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(right)), sizes)[order]
+        kinds, starts = np.unique(flat[order], return_index=True)
+        ends = np.r_[starts[1:], len(flat)]
+        nodes, roots = right["node"].to_numpy(), right["root"].to_numpy()
+        for node, root, own in zip(left["node"], left["root"], left["hashes"]):
+            at = np.minimum(np.searchsorted(kinds, own), max(0, len(kinds) - 1))
+            at = at[kinds[at] == own] if len(kinds) else at[:0]
+            both = np.bincount(owner[ragged(starts[at], ends[at] - starts[at])], minlength=len(right)) if len(at) else np.zeros(len(right), int)
+            alike = np.flatnonzero((both >= similarity * (sizes + len(own) - both)) & (roots != root) & (both > 0))
+            for i in alike.tolist():
+                if (x := top(root)) != (y := top(roots[i])):
+                    parent[x] = y
+                    links.append((min(node, nodes[i]), max(node, nodes[i])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def crowds_of(mixed: DataFrame) -> DataFrame:
+    """(node, crowd) of rows (node, cell): cells that share members make a crowd."""
+    least = mixed.groupBy("cell").agg(F.min("node").alias("m"))
+    return cut(connected_components(mixed.join(least, "cell"), "node", "m").withColumnRenamed("root", "crowd"))
+
+
+def crowd_links(mixed: DataFrame, crowds: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the components of rows (node, cell, root) as all pairs of the
+    similarity within crowds do. Every pair of a crowd that is not in one component has an end
+    outside the crowd's largest one; such rows are held against all of the crowd, in blocks,
+    and each two blocks give only links that join components. The work grows with the number
+    of such rows times the crowd; no rows do.
     """
-    roots = connected_components(links)
-    rooted = cut(sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "hashes"))
-    share = min(1.0, SAMPLE / max(1, rooted.count()))
-    drawn = rooted.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < share * (1 << 30))
-    often = drawn.select(F.explode("hashes").alias("token")).groupBy("token").count().where("count > 2")
-    top = sorted((r["token"], r["count"]) for r in often.orderBy(F.desc("count")).limit(COMMON).collect())
-    common, counts = (np.array([r[i] for r in top], np.int64) for i in (0, 1))
-    made = partial(_prefixes, similarity=similarity, common=common, counts=counts)
-    rows = cut(map_arrow(rooted, made, "token long, node long, root long, size long").repartition("token"))
-    parts = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("parts"))
-    mixed = cut(rows.join(parts.where("parts > 1").select("token", F.col("m.root").alias("most")), "token"))
-    few = mixed.where("root <> most").select("token", F.col("node").alias("a"), F.col("root").alias("p"), F.col("size").alias("m"))
-    every = mixed.select("token", F.col("node").alias("b"), F.col("root").alias("q"), F.col("size").alias("n"))
-    fit = (F.col("p") != F.col("q")) & (F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n"))
-    return cut(_ordered(few.join(every, "token").where(fit), "a", "b"))
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, dense: int = 32, rounds: int = 2) -> DataFrame:
+    rows = cut(mixed.select("node", "root").distinct().join(crowds, "node").join(sets, "node"))
+    facts = rows.groupBy("crowd", "root").agg(F.count("*").alias("n"), F.sum(F.size("hashes")).alias("size"))
+    facts = facts.groupBy("crowd").agg(F.max(F.struct("n", "root", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    n, size, most = F.col("n"), F.col("size"), F.col("most")
+    facts = facts.select("crowd", most["root"].alias("most"), blocks(n, size).alias("right"), blocks(n - most["n"], size - most["size"]).alias("left"))
+    rows = rows.join(facts, "crowd")
+    spread = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    names, key = ["crowd", "x", "y", "node", "root", "hashes"], ["crowd", "x", "y"]
+    one = rows.where("root <> most").select("crowd", spread("left").alias("x"), each("right").alias("y"), *names[3:]).toDF(*names)
+    two = rows.select("crowd", each("left").alias("x"), spread("right").alias("y"), *names[3:]).toDF(*names)
+    return cut(one.groupBy(*key).cogroup(two.groupBy(*key)).applyInPandas(partial(_crossing, similarity=similarity), "a long, b long"))
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, dense: int = 32, crowd: int = 16_384) -> DataFrame:
     """(a, b): links that connect the same nodes as all pairs do that are in one cell and of
     the similarity asked for.
 
-    Of a crowded cell all pairs would be too many. Its members are held against up to
-    ``rounds`` heads, each the one in most crowded cells (of many copies of a text, the text
-    itself), which connects copies at little cost and rules out nothing. Then every member of
-    a crowded cell, linked or not, is held against all those in other components that it can
-    be similar to (``prefix_pairs``).
+    Of a crowded cell all pairs would be too many. Its members are held against a head, which
+    connects copies at little cost and rules out nothing. Crowds whose cells still have
+    members of several components are compared whole (``crowd_links``). Crowds of over
+    ``crowd`` members get deeper cells before that, which texts that only share a passage
+    seldom have in common: of these again all pairs, a head, and the rest whole. So nothing
+    is left over.
     """
     cells = classes.select("node", F.explode("cells").alias("cell"))
     pairs, crowded = _met(cells, dense)
-    inside = cut(crowded.select("node").distinct())
+    crowded = cut(crowded)
+    inside = crowded.select("node").distinct()
     sets = shingle_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(inside), words)
     links = verified(pairs, sets, similarity)
-    if inside.isEmpty():
+    release(sets)
+    if crowded.isEmpty():
         return links
-    for _ in range(rounds):
-        if crowded.isEmpty():
-            break
-        seen = crowded.groupBy("node").count()
-        heads = crowded.join(seen, "node").groupBy("cell").agg(F.max(F.struct("count", "node")).alias("m")).select("cell", F.col("m.node").alias("head"))
-        star = cut(crowded.join(heads, "cell").where("node <> head"))
-        near = verified(cut(_ordered(star, "node", "head")), sets, similarity)
-        links = links.union(near)
-        met = near.union(near.select("b", "a")).toDF("node", "head")
-        crowded = cut(star.join(met, ["node", "head"], "left_anti").select("node", "cell"))
-    return links.union(verified(prefix_pairs(sets.join(inside, "node", "left_semi"), links, similarity), sets, similarity))
+    links = _starred(crowded, sets, links, similarity)
+    mixed = _mixed(crowded, cut(connected_components(links)))
+    if mixed.isEmpty():
+        return links
+    crowds = crowds_of(mixed)
+    release(sets)
+    sizes = crowds.groupBy("crowd").count()
+    small = mixed.join(crowds.join(sizes.where(F.col("count") <= crowd), "crowd").select("node"), "node", "left_semi")
+    links = links.union(crowd_links(small, crowds, sets, similarity))
+    large = cut(mixed.join(crowds.join(sizes.where(F.col("count") > crowd), "crowd").select("node"), "node", "left_semi"))
+    return links if large.isEmpty() else _deep_links(large, sets, links, similarity, dense)
+
+
+def _deep_links(large: DataFrame, sets: DataFrame, links: DataFrame, similarity: float, dense: int) -> DataFrame:
+    """``links`` with those of the members of large crowds, by deeper cells."""
+    open_sets = cut(sets.join(large.select("node").distinct(), "node", "left_semi"))
+    dealt = open_sets.repartition(open_sets.sparkSession.sparkContext.defaultParallelism, "node")
+    pairs, crowded = _met(cut(map_arrow(dealt, partial(_deep_cells, bands=DEEP_BANDS, depth=DEEP_DEPTH), "node long, cell long")), dense)
+    links = links.union(verified(_apart(pairs, cut(connected_components(links))), open_sets, similarity))
+    mixed = _mixed(crowded, cut(connected_components(links)))
+    links = _starred(mixed.select("node", "cell"), open_sets, links, similarity)
+    release(sets)
+    mixed = _mixed(mixed.select("node", "cell"), cut(connected_components(links)))
+    return links if mixed.isEmpty() else links.union(crowd_links(mixed, crowds_of(mixed), open_sets, similarity))
 
 
 def _linked(docs: DataFrame, words: int, similarity: float, max_distance: int, dense: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -236,6 +301,7 @@ def _linked(docs: DataFrame, words: int, similarity: float, max_distance: int, d
     prints = cut(map_arrow(keyed, partial(_sketched, words=words), f"doc_id {id_type}, key long, fp long, node long, cells array<long>"))
     classes = node_classes(prints)
     near = similar_links(docs, classes, words, similarity, dense)
+    release(docs)
     of = classes.select("node", "fp")
     by_print = near.join(of.toDF("a", "p"), "a").join(of.toDF("b", "q"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     return prints.select("doc_id", "key", "fp"), lambda firsts: fingerprint_links(firsts, max_distance).union(by_print.where("a <> b")).distinct()

@@ -77,7 +77,7 @@ def test_awkward_tables(spark):
     assert similar.similar_groups(empty(spark)).count() == 0
 
 
-def _edges(spark, texts):
+def _edges(spark, texts, **more):
     """Links of similar_links by row, and the sets of shingles."""
     from functools import partial
 
@@ -86,7 +86,7 @@ def _edges(spark, texts):
     prints = similar.map_arrow(keyed, partial(similar._sketched, words=5), "doc_id long, key long, fp long, node long, cells array<long>")
     classes = similar.node_classes(prints)
     of = {r.node: r.rep.doc_id for r in classes.collect()}
-    return [(of[r.a], of[r.b]) for r in similar.similar_links(docs, classes, 5, 0.8).collect()], [_shingles(t) for t in texts]
+    return [(of[r.a], of[r.b]) for r in similar.similar_links(docs, classes, 5, 0.8, **more).collect()], [_shingles(t) for t in texts]
 
 
 def _parts(n, edges):
@@ -100,8 +100,10 @@ def _all_pairs(sets):
     return [(a, b) for b in range(len(sets)) for a in range(b) if _similarity(sets[a], sets[b]) >= 0.8]
 
 
-def test_pairs_among_texts_that_share_a_passage(spark):
-    """Texts of one long passage crowd each other's cells; only the two of a family are similar."""
+@pytest.mark.parametrize("crowd", [16_384, 10])
+def test_pairs_among_texts_that_share_a_passage(spark, crowd):
+    """Texts of one long passage crowd each other's cells; only the two of a family are similar.
+    Whole crowds, and crowds by deeper cells first."""
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
     passage = words(108)
@@ -109,7 +111,7 @@ def test_pairs_among_texts_that_share_a_passage(spark):
     for _ in range(250):
         shared = words(5)
         texts += [" ".join(passage + shared + words(13)) for _ in range(2)]
-    got, sets = _edges(spark, texts)
+    got, sets = _edges(spark, texts, crowd=crowd)
     want = _all_pairs(sets)
     assert len(want) == 250
     assert _parts(len(texts), got) == _parts(len(texts), want)
@@ -132,3 +134,17 @@ def test_text_that_only_a_linked_copy_is_similar_to(spark):
     only = [i for i in range(61, len(texts)) if _similarity(sets[0], sets[i]) < 0.8 and any(i in w for w in want)]
     assert len(only) > 5
     assert _parts(len(texts), got) == _parts(len(texts), want)
+
+
+def test_crowd_in_blocks(spark, monkeypatch):
+    """Whatever the blocks, a crowd's components are those of all pairs, and links are few."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 7)
+    rng = random.Random(6)
+    texts = _families(rng, [0, 3, 9, 14, 2])
+    sets = [_shingles(t) for t in texts]
+    signed = lambda s: sorted(x - (1 << 64) if x >> 63 else x for x in s)
+    frame = spark.createDataFrame([(i, signed(s)) for i, s in enumerate(sets)], "node long, hashes array<long>")
+    mixed = spark.createDataFrame([(i, c, i if i > 2 else 0) for i in range(len(texts)) for c in (i // 3, i // 3 + 1)], "node long, cell long, root long")
+    got = [(r.a, r.b) for r in similar.crowd_links(mixed, similar.crowds_of(mixed), frame, 0.8).collect()]
+    known = [(0, 1), (0, 2)]
+    assert _parts(len(texts), got + known) == _parts(len(texts), _all_pairs(sets) + known)
