@@ -125,7 +125,7 @@ def luhn(s):
 def test_pii_keeps_formats_and_links_values(spark):
     text = "DE89 3704 0044 0532 0130 00, 4111 1111 1111 1111 4111-1111-1111-1112 123-45-6789 000-12-3456 1985-02-29 31.12.1999 +1 (017) 555-7713 1.2.3.4 256.1.1.1 a.b@c.de"
     docs = spark.createDataFrame([(1, text), (2, "again 4111111111111111 and A.B@c.de")], "doc_id long, text string")
-    one, two = pii.summary(docs).orderBy("doc_id").collect()
+    one, two = pii.summary(docs, "k").orderBy("doc_id").collect()
     assert one.n_iban == one.n_card == one.n_ssn == one.n_date == one.n_phone == one.n_ip == one.n_email == 1 and one.n_pii == 7
     for kept in ("4111-1111-1111-1112", "000-12-3456", "1985-02-29", "256.1.1.1", "+1 ("):
         assert kept in one.text
@@ -137,14 +137,112 @@ def test_pii_keeps_formats_and_links_values(spark):
     assert other.pseudonyms != one.pseudonyms
 
 
+def plain_feistel(value, a, b, key, kind):
+    """The permutation in plain Python."""
+    left, right = divmod(value, b)
+    f = lambda i, x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + f(i, right) % a) % a
+        else:
+            right = (right + f(i, left) % b) % b
+    return left * b + right
+
+
+def plain_digits(d, key, kind):
+    return str(plain_feistel(int(d), 10 ** (len(d) // 2), 10 ** ((len(d) + 1) // 2), key, kind)).zfill(len(d))
+
+
+def plain_pseudonym(m, key):
+    """(kind, pseudonym) of what matches, by plain Python; None if it isn't valid."""
+    import datetime
+
+    put = lambda form, digits: (lambda it: "".join(next(it) if c.isdigit() else c for c in form))(iter(digits))
+    d = re.sub("[^0-9]", "", m)
+    if "@" in m:
+        return "email", "u" + hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:16] + "@pseudonym.invalid"
+    if re.match("[A-Z]{2}", m):
+        plain = m.replace(" ", "")
+        account, tail = plain[4:], re.sub("[^0-9]", "", plain[4:])[-18:]
+        number = lambda s: int("".join(str(int(c, 36)) for c in s))
+        if not (15 <= len(plain) <= 34 and number(account + plain[:4]) % 97 == 1 and tail):
+            return None
+        own = re.sub("[^0-9]", "", account)
+        digits = own[: len(own) - len(tail)] + plain_digits(tail, key, "iban")
+        return "iban", put(m, f"{98 - number(put(account, digits) + plain[:2] + '00') % 97:02}" + digits)
+    for shape, form in ((r"\d\d/\d\d/\d{4}", "%d/%m/%Y"), (r"\d\d/\d\d/\d{4}", "%m/%d/%Y"), (r"\d\d\.\d\d\.\d{4}", "%d.%m.%Y"), (r"\d{4}-\d\d-\d\d", "%Y-%m-%d")):
+        if re.fullmatch(shape, m):
+            try:
+                n = (datetime.datetime.strptime(m, form).date() - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                continue
+            if 0 <= n <= 73048:
+                new = datetime.date(1900, 1, 1) + datetime.timedelta(plain_feistel(n, 17, 4297, key, "date"))
+                return "date", new.strftime(form)
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        area, group, serial = map(int, m.split("-"))
+        if not (1 <= area <= 899 and area != 666 and group and serial):
+            return None
+        n = plain_feistel(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
+        a = n // 9999 // 99 + 1
+        return "ssn", f"{a + (a >= 666):03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}"
+    if m.count(".") == 3 and re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", m):
+        n = 0
+        for part in m.split("."):
+            n = n * 256 + int(part)
+        n = plain_feistel(n, 65536, 65536, key, "ip")
+        return "ip", ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if m[0] in "+(":
+        code = (re.match(r"\+[0-9]{1,3}(?=[ .(-])", m) or [""])[0]
+        rest = m[len(code) :]
+        d = re.sub("[^0-9]", "", rest)
+        return ("phone", code + put(rest, plain_digits(d, key, "phone"))) if 6 <= len(d) <= 14 else None
+    if 13 <= len(d) <= 19 and luhn(d):
+        new = plain_digits(d[:-1], key, "card")
+        return "card", put(m, new + next(c for c in "0123456789" if luhn(new + c)))
+    return None
+
+
+def test_pseudonyms_as_by_a_plain_version(spark):
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = digits(rng.choice([12, 15, 18]))
+        body += next(c for c in "0123456789" if luhn(body + c))
+        return " ".join((body[i : i + 4] for i in range(0, 16, 4))) if len(body) == 16 and rng.random() < 0.5 else body
+
+    def iban():
+        account = digits(18)
+        return f"DE{98 - int(account + '131400') % 97:02}{account}"
+
+    kinds = (
+        card, iban, lambda: digits(16), lambda: f"{rng.randint(1890, 2110)}-{rng.randint(0, 13):02}-{rng.randint(0, 32):02}", lambda: f"{rng.randint(0, 32):02}/{rng.randint(0, 13):02}/{rng.randint(1890, 2110)}",
+        lambda: f"{rng.randint(1, 31):02}.{rng.randint(1, 13):02}.{rng.randint(1900, 2099)}", lambda: f"{rng.choice([0, 1, 666, 665, 667, 899, 900, 123]):03}-{rng.randint(0, 99):02}-{rng.randint(0, 9999):04}",
+        lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"+{rng.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"user{digits(2)}@Mail{digits(1)}.org", lambda: "word", lambda: digits(5),
+    )
+    parts = [[k() for k in rng.choices(kinds, k=6)] for _ in range(400)]
+    docs = spark.createDataFrame([(i, " é ; ".join(p)) for i, p in enumerate(parts)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, [(x.kind, x.value, x.pseudonym) for x in r.pii]) for r in pii.pseudonymised(docs, "k").collect()}
+    seen = set()
+    for i, p in enumerate(parts):
+        made = [plain_pseudonym(m, "k") if re.search("[0-9@]", m) and m != "word" and len(m) > 5 else None for m in p]
+        assert got[i] == (" é ; ".join(x[1] if x else m for m, x in zip(p, made)), [(x[0], m, x[1]) for m, x in zip(p, made) if x])
+        seen |= {x[0] for x in made if x}
+    assert seen == set(pii.KINDS)
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs, "")
+
+
 def test_pii_on_awkward_tables(spark):
     docs = awkward(spark)
-    rows = pii.pseudonymised(docs)
+    rows = pii.pseudonymised(docs, "k")
     assert rows.count() == docs.count() and rows.columns == [c for c in docs.columns if c != "pii"] + ["pii"]
     for a, b in zip(docs.orderBy("doc_id", "text").collect(), rows.orderBy("doc_id", "text").collect()):
         assert (a.text is None) == (b.text is None)
     same = rows.where("size(pii) = 0").select("doc_id", "text").exceptAll(docs.select("doc_id", "text"))
-    assert same.count() == 0 and pii.pseudonymised(empty(spark)).count() == 0
+    assert same.count() == 0 and pii.pseudonymised(empty(spark), "k").count() == 0
 
 
 # 3
@@ -232,6 +330,71 @@ def test_secret_spans(spark):
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(empty(spark)).count() == 0
 
 
+def plain_suspect(value, window=20):
+    """The class of a candidate that is a span, by plain Python."""
+    letters, digits = [c for c in value if c.isalpha()], [c for c in value if c.isdigit()]
+    path = re.fullmatch(r"(?:/?[A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}", value)
+    if (
+        re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) or path or re.fullmatch(r"[A-Za-z_-]+[0-9]{1,8}", value) or re.search(r"(.)\1{7}", value)
+        or any(w in value.lower() for w in ("example", "placeholder", "dummy", "changeme", "xxxx", "0123456789", "1234567890", "abcdefgh"))
+    ):
+        return None
+    if digits and letters and re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+        kind, least = "entropy_hex", 3.0
+    elif digits and letters:
+        kind, least = "entropy_mixed", 3.6
+    elif not digits and re.search("[a-z][A-Z]", value) and re.search("[A-Z][a-z]", value):
+        kind, least = "entropy_cased", 3.9
+    else:
+        return None
+    windows = [value[i : i + window] for i in range(max(1, len(value) - window + 1))]
+    best = max(-sum(c / len(x) * math.log2(c / len(x)) for c in collections.Counter(x).values()) for x in windows)
+    return kind if best >= least - 1e-9 else None
+
+
+def plain_spans(t):
+    found = [(int(s), ("assign", "access", "hex").index(k), k, int(e)) for k, s, e in (b.split(":") for b in plain_base(t))]
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+        if re.search("[A-Z0-9]", m[0]) and (kind := plain_suspect(m[0])):
+            found.append((m.start(), 3, kind, m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+
+
+def test_secret_spans_of_random_texts(spark):
+    rng = random.Random(14)
+    runs = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "ABCabcXYZxyz", "ab-", "a/b_", "aA1"]
+    pieces = ["token=", "password: '", "AKIA", "AKIAABCDEFGHIJKLMN", " ", "\n", "é", "😀", "a.b.", "example", "-", "/path/to/some_File-2024", "123e4567-e89b-12d3-a456-426614174000", '"', "=="]
+
+    def text():
+        out = []
+        for _ in range(rng.randint(0, 9)):
+            alphabet = rng.choice(runs)
+            out.append(rng.choice(pieces) if rng.random() < 0.6 else "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))))
+        return "".join(out)
+
+    texts = [text() for _ in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    want = {i: plain_spans(t) for i, t in enumerate(texts)}
+    assert got == want and sum("entropy" in s for s in want.values()) > 100
+
+
+def test_secrets_in_very_long_runs(spark):
+    """No pattern may need a stack as deep as a text is long, and no step time that grows with it."""
+    rng = random.Random(15)
+    base64 = "".join(rng.choice("BCDFGHJKLNPQRSTVWZbcdfghjklnpqrstvwz23456789+/") for _ in range(1_000_000))
+    many = " ".join("%017x" % rng.getrandbits(68) for _ in range(30_000))
+    texts = ["ab-" * 100_000 + "A1", base64, "a.b." * 250_000, "/a" * 300_000 + "1", "A" * 500_000 + "1b", many, "a" * 1_000_000, "token=" * 100_000 + "x" * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        base = plain_base(t)
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert [rows[i].n_entropy for i in (0, 2, 3, 4, 6)] == [0] * 5
+    assert rows[1].spans == "entropy_mixed:0:1000000" and rows[5].n_hex == 30_000
+    assert pii.pseudonymised(docs, "k").where("size(pii) = 0").count() >= 7
+
+
 def test_window_entropy(spark):
     rng = random.Random(4)
     alphabet = "0123456789abcdef"
@@ -269,11 +432,84 @@ def test_language_model_against_plain_counts(spark):
 
 
 def test_log_probabilities_are_normalised_and_learnt():
-    c = lblm.CLASSES
+    c = 40
     triples = np.array([(0 * c + 1) * c + 2, (1 * c + 2) * c + 0, (2 * c + 0) * c + 1])
-    table = lblm.table_of(lblm.train(triples, np.array([50, 50, 50]), steps=400))
-    assert np.allclose((10.0 ** table.astype(np.float64)).sum(1), 1, atol=1e-3)
-    assert all(10 ** table[t // c, t % c] > 0.5 for t in triples)
+    unigram = np.bincount(triples % c, [50, 50, 50], minlength=c) + 0.5
+    unigram /= unigram.sum()
+    weights = lblm.train(lblm.first_weights(unigram), triples, np.array([50, 50, 50]), unigram, 600)
+    contexts = np.repeat(triples // c, c)
+    table = lblm.log_probabilities(weights, c, contexts, np.tile(np.arange(c), 3), batch=2).reshape(3, c)
+    assert np.allclose((10.0**table).sum(1), 1, atol=1e-3)
+    assert all(10 ** table[i, t % c] > 0.5 for i, t in enumerate(triples))
+
+
+def test_training_in_parts(spark, monkeypatch):
+    """Parts' weights are averaged; what is learnt is the same structure."""
+    c = 30
+    rows = [((i * c + (i + 1) % 10) * c + (i + 2) % 10, 20) for i in range(10)]
+    frame = spark.createDataFrame(rows, "triple long, n long")
+    monkeypatch.setattr(lblm, "PART", 4)
+    weights = lblm.trained(frame, c)
+    got = lblm.log_probabilities(weights, c, np.array([t // c for t, _ in rows]), np.array([t % c for t, _ in rows]))
+    assert (10.0**got).min() > 0.3
+    assert len(lblm.trained(frame.where("false"), c)) == 3 * c * lblm.SIZE + c
+
+
+def plain_form(word):
+    return int(lblm.forms_of(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0])
+
+
+def test_scores_as_by_a_plain_version(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda k: " ".join(rng.choice(WORDS + ["Über", "año", "don't", "42,", "$x"]) + rng.choice(["", "", "", "s", "ly."]) for _ in range(k))
+    learnt = [(i, text(30)) for i in range(40)]
+    asked = learnt[:5] + [(100 + i, text(20) + f" new{i} wörter{i} x9,") for i in range(15)] + [(200, ""), (201, None)]
+    seen = []
+    keep = lblm.trained
+    monkeypatch.setattr(lblm, "trained", lambda *x: seen.append(keep(*x)) or seen[0])
+    schema = "doc_id long, text string"
+    got = {r.doc_id: r.score for r in lblm.score_texts(spark.createDataFrame(asked, schema), spark.createDataFrame(learnt, schema), frequent=60).collect()}
+    counts = collections.Counter(w for _, t in learnt for w in t.encode().lower().split())
+    levels = collections.defaultdict(list)
+    for w, n in counts.items():
+        levels[math.floor(math.log2(n) * 4 + 1e-9)].append(w)
+    top = []
+    for at in sorted(levels, reverse=True):
+        if len(top) + len(levels[at]) > 60:
+            break
+        top += levels[at]
+    own = sorted(top, key=lambda w: (-counts[w], w))[: math.ceil(4 * len(counts) ** (1 / 3))]
+    forms = collections.defaultdict(list)
+    for w, n in counts.items():
+        if w not in own:
+            forms[plain_form(w)].append(n)
+    discount = {f: min(0.95, max(0.05, (c.count(1) + 0.5) / (c.count(1) + 2 * c.count(2) + 1))) for f, c in forms.items()}
+    pairs = collections.Counter()
+    for w in counts:
+        b = [256, *w, 256]
+        pairs.update(zip(b, b[1:]))
+    row = collections.Counter()
+    for (x, _), n in pairs.items():
+        row[x] += n
+    spelt = lambda w: sum(math.log10((pairs[x, y] + 0.05) / (row[x] + 0.05 * 257)) for x, y in zip([256, *w], [*w, 256]))
+    c = len(own) + 97
+    r, q, b = (x.astype(np.float64) for x in lblm.split(seen[0], c))
+    for i, t in asked:
+        tokens = (t or "").encode().lower().split()
+        classes = [c - 1, c - 1, *[own.index(w) if w in own else len(own) + plain_form(w) for w in tokens], c - 1]
+        total = 0.0
+        for c2, c1, w in zip(classes, classes[1:], classes[2:]):
+            logits = (r[0, c2] + r[1, c1]) @ q.T + b
+            total += (logits[w] - logits.max() - math.log(np.exp(logits - logits.max()).sum())) / math.log(10)
+        for w in tokens:
+            if w not in own:
+                f = plain_form(w)
+                size = sum(forms[f])
+                if w in counts:
+                    total += math.log10((counts[w] - discount[f]) / size)
+                else:
+                    total += (math.log10(discount[f] * len(forms[f]) / size) if size else 0.0) + spelt(w)
+        assert abs(got[i] - total) < 1e-3 * (1 + abs(total)), i
 
 
 # 6
@@ -293,6 +529,78 @@ def test_language_families_and_pairs(spark):
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
+def plain_language(texts, languages, asked):
+    """The same model in plain Python: a text's n-grams by a dictionary, families first, then pairs."""
+    def rows(some):
+        out = np.zeros((len(some), langid.SIZE))
+        for i, t in enumerate(some):
+            raw, before = [], False
+            for c in t.lower().encode():
+                letter = 0x61 <= c <= 0x7A or c >= 0x80
+                if letter or before or not raw:
+                    raw.append(c if letter else 0x20)
+                before = letter
+            for n in (1, 2, 3):
+                for j in range(len(raw) - n + 1):
+                    code = 0
+                    for c in raw[j : j + n]:
+                        code = (code * 257 + c + 1) % 2**32
+                    out[i, code * 2654435761 % 2**32 >> 20] += 1
+        out = np.sqrt(out)
+        return (out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+
+    x, z = rows(texts), rows(asked)
+    family = {n: langid.FAMILY_OF.get(n, n) for n in languages}
+    names = sorted(set(family.values()))
+    against = lambda yes: langid.svm(x, np.where(yes, 1, -1).astype(np.float32))
+    weights = [against(np.array([family[n] == f for n in languages])) for f in names]
+    out = []
+    for row in z:
+        f = names[int(np.argmax([row @ w[:-1] + w[-1] for w in weights]))] if len(names) > 1 else names[0]
+        own = sorted({n for n in languages if family[n] == f})
+        votes = dict.fromkeys(own, 0.0)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                two = np.array([n in (a, b) for n in languages])
+                w = langid.svm(x[two], np.where(np.array(languages)[two] == a, 1, -1).astype(np.float32))
+                m = row @ w[:-1] + w[-1]
+                votes[a if m > 0 else b] += 1
+                votes[a] += np.tanh(m) / 4 / len(own)
+                votes[b] -= np.tanh(m) / 4 / len(own)
+        out.append(max(own, key=lambda n: votes[n]))
+    return out
+
+
+def test_languages_as_by_a_plain_version(spark):
+    rng = random.Random(16)
+    stock = {"en": "the of and with that", "de": "der und nicht sch ung", "nl": "het een van niet ij", "fr": "le que est eau oi", "es": "que el los ado para", "fi": "kin ja on ssa yy"}
+    make = lambda lang: " ".join(rng.choice(stock[lang].split() + ["zo", "a1", "-"]) for _ in range(12))
+    learnt = [(i, make(n), n) for i in range(90) for n in [list(stock)[i % 6]]]
+    asked = [(1000 + i, make(n), None) for i in range(60) for n in [list(stock)[i % 6]]]
+    schema = "doc_id long, text string, lang string"
+    model = langid.fit(spark.createDataFrame(learnt, schema))
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(asked, schema), model).collect()}
+    order = sorted(learnt, key=lambda r: r[2])
+    assert [got[r[0]] for r in asked] == plain_language([r[1] for r in order], [r[2] for r in order], [r[1] for r in asked])
+
+
+def test_language_training_is_bounded(spark):
+    """Copies and repeated ids count once; a language of copies and few others is learnt."""
+    schema = "doc_id long, text string, lang string"
+    rows = [(7, "one two three", "en")] * 3000 + [(7, f"word number {i}", "en") for i in range(40)] + [(i, f"wort nummer {i}", "de") for i in range(500)]
+    docs = spark.createDataFrame(rows, schema)
+    seen = []
+    keep = langid._features
+    counted = langid.map_arrow
+    langid.map_arrow = lambda df, fn, kind: seen.append(df.groupBy("lang").count().collect()) or counted(df, fn, kind) if fn is keep else counted(df, fn, kind)
+    try:
+        model = langid.fit(docs, per_language=30)
+    finally:
+        langid.map_arrow = counted
+    counts = {r["lang"]: r["count"] for r in seen[0]}
+    assert set(counts) == {"en", "de"} and all(10 <= n <= 30 for n in counts.values()) and model.families == ["germanic"]
+
+
 # 7
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(7)
@@ -302,9 +610,9 @@ def test_top_k_is_exact(spark):
     rows += [(700, None), (701, [1.0, None]), (702, [float("nan")] * 16), (703, []), (None, rows[0][1]), (720, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as v", "'x' as rank")
     x = np.floor(64 * vectors.astype(np.float64)).astype(np.int64)
-    for cell in (8192, 150):
+    for cell, block in ((8192, 4096), (150, 64)):
         got = collections.defaultdict(list)
-        for r in topk.top_k(df, rows_per_cell=cell, queries_per_cell=20).orderBy("query_id", "rank").collect():
+        for r in topk.top_k(df, rows_per_cell=cell, queries_per_cell=20, block=block).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score))
         assert sorted(got) == list(range(0, 700, 20))
         for q in got:
@@ -314,6 +622,41 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def plain_top(x, ids, q, own, k):
+    s = x @ q
+    keep = np.flatnonzero(ids != own)
+    rank = keep[np.lexsort((ids[keep], -s[keep]))][:k]
+    return ids[rank].tolist(), s[rank].tolist()
+
+
+def test_lists_are_read_in_part_only():
+    """Vectors of no structure, clusters, repeated rows and large integers: exact results of
+    a part of the entries, and final scores of few rows."""
+    rng = np.random.default_rng(17)
+    flat = np.floor(64 * (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(6000, 64)))).astype(np.int64)
+    centres = rng.integers(-60, 60, (40, 64))
+    clusters = np.repeat(centres, 150, 0) + rng.integers(-6, 7, (6000, 64))
+    copies = np.repeat(flat[:60], 100, 0)
+    for x, most_read, most_resolved in ((flat, 0.7, 0.1), (clusters, 0.4, 0.2), (copies, 1, 1), (flat * 100_000, 0.7, 0.1), (np.zeros((300, 3), np.int64), 1, 1)):
+        ids = rng.permutation(len(x))
+        asked = np.arange(0, len(x), 97)
+        found, work = topk.search(x[asked], ids[asked], x, ids, 20)
+        for i, (who, scores) in zip(asked, found):
+            assert (who.tolist(), scores.tolist()) == plain_top(x, ids, x[i], ids[i], 20)
+        pairs = len(asked) * len(x)
+        assert work[:, 0].sum() <= most_read * pairs * x.shape[1] and work[:, 1].sum() <= most_resolved * pairs
+
+
+def test_work_of_a_search(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    done = topk.work_of(df).collect()
+    assert len(done) == 150 and all(r.rows == 3000 and r.entries == 3000 * 64 for r in done)
+    assert sum(r.entries_read for r in done) < 0.75 * sum(r.entries for r in done) and sum(r.rows_resolved for r in done) < 0.2 * sum(r.rows for r in done)
+
+
 # 8
 def test_matroska_round_trips(spark):
     for text in ("", "a", "x" * 64, "é" * 70000):
@@ -397,6 +740,15 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack(empty(spark), WORD_FILE).count() == 0
 
 
+def test_packing_repeated_rows(spark):
+    """Groups have about their size, whatever is repeated."""
+    docs = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string")
+    rows = packing.pack(docs, WORD_FILE, group_size=100).collect()
+    sizes = collections.Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 3000 and len(sizes) == 30 and max(sizes.values()) < 200
+    assert {r.length for r in rows} == {1}
+
+
 # 10
 def toxic_rows(n=400):
     rng = random.Random(10)
@@ -415,14 +767,84 @@ def test_toxicity_learns_words_and_spares_groups(spark):
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.classify(docs, marks).collect()}
     assert all(got[i].predicted == t for i, t in labels) and any(r.held_out for r in got.values())
-    hashes = [np.unique(toxicity.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for _, t in rows]
+
+
+def word_sets(texts):
+    return [np.unique(toxicity.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for t in texts]
+
+
+def test_mention_of_a_group_is_not_toxic():
+    """A term that only toxic rows have, no other term of its kind in any: as shipped, no
+    term moves the score, and the toxic word still does."""
+    rows, labels = toxic_rows()
+    texts = [t.replace("women", "muslims").replace(" men", "") for _, t in rows]
     y = np.array([t for _, t in labels])
-    gap = {}
-    for fairness in (0.0, 50.0):
-        m = toxicity.train(hashes, y, fairness=fairness)
-        w = dict(zip(m.words.tolist(), m.weights))
-        gap[fairness] = abs(w[toxicity.hash_of("women")] - w[toxicity.hash_of("men")])
-    assert gap[50.0] < 0.5 * gap[0.0]
+    score = lambda m, t: float(m.scores(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
+    alone = [t.replace("scumbag", "") for t in texts]  # nothing but the term tells the labels apart
+    for some in (texts, alone):
+        m = toxicity.train(word_sets(some), y)
+        plain = score(m, "seven small birds sing")
+        assert all(abs(score(m, f"seven small {t} sing") - plain) < 0.05 for t in ("muslims", "christians", "jews"))
+    free = toxicity.train(word_sets(alone), y, fairness=0.0)
+    assert score(free, "seven small muslims sing") > 0.8
+    fair = toxicity.train(word_sets(texts), y)
+    assert score(fair, "you scumbag") > 0.5 > score(fair, "seven small birds sing")
+
+
+def plain_words(text):
+    low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text)
+    return set(re.findall(r"[a-z\x80-\U0010ffff]+", low))
+
+
+def test_training_is_a_minimum_of_the_plain_objective():
+    """Loss, ridge, and the changes of sentences that are really made: no step along a weight lowers it."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS + ["women", "men", "gay", "Muslims"]) for _ in range(6)) + (" scumbag" if i % 3 == 0 else "") for i in range(60)]
+    y = np.array([int(i % 3 == 0) for i in range(60)])
+    m = toxicity.train(word_sets(texts), y, fairness=2.0, rounds=3000)
+    weight = dict(zip(m.words.tolist(), m.weights))
+
+    def logit(words, w, b):
+        return b + sum(w.get(toxicity.hash_of(x), 0.0) for x in words)
+
+    sentences = []
+    for i, t in enumerate(texts):
+        words = plain_words(t)
+        share = 0.5 / y.sum() if y[i] else 0.5 / (60 - y.sum())
+        for group in toxicity.IDENTITY_TERMS:
+            for term in words & set(group):
+                others = [o for o in group if o != term]
+                sentences += [(words, words - {term} | {o}, share * 0.5 / len(others)) for o in others] + [(words, words - {term}, share * 0.5)]
+
+    def objective(w, b):
+        total = 2e-3 / 2 / max(1.0, len(w) ** 0.5) * sum(v * v for v in w.values())
+        for i, t in enumerate(texts):
+            z = logit(plain_words(t), w, b)
+            total += (0.5 / y.sum() if y[i] else 0.5 / (60 - y.sum())) * math.log1p(math.exp(-z if y[i] else z))
+        return total + 2.0 * sum(s * (logit(a, w, b) - logit(c, w, b)) ** 2 for a, c, s in sentences)
+
+    least = objective(weight, m.bias)
+    for h in [toxicity.hash_of(x) for x in ("scumbag", "women", "men", "gay", "lesbian", "muslims", "jews")]:
+        for step in (-0.1, 0.1):
+            assert objective(weight | {h: weight[h] + step}, m.bias) > least - 1e-4
+    data = "Scumbag GAY men, fox\nmen"
+    raw = np.frombuffer(data.encode(), np.uint8)
+    assert abs(m.scores(raw, np.array([0, len(raw)]))[0] - 1 / (1 + math.exp(-logit(plain_words(data), weight, m.bias)))) < 1e-9
+
+
+def test_toxicity_training_is_bounded(spark):
+    """Repeated ids, labels and texts don't enlarge what is learnt from."""
+    rows, labels = toxic_rows(200)
+    docs = spark.createDataFrame(rows + [(1, "other text " + "".join(chr(97 + int(c)) for c in str(i))) for i in range(3000)] + [rows[4]] * 500, "doc_id long, text string")
+    marks = spark.createDataFrame(labels + [(1, 0)] * 1000 + [(4, 1)] * 1000, "doc_id long, toxic int")
+    seen = []
+    keep = toxicity.train
+    toxicity.train = lambda texts, y: seen.append(len(texts)) or keep(texts, y)
+    try:
+        toxicity.fit(docs, marks, most_rows=150)
+    finally:
+        toxicity.train = keep
+    assert 5 <= seen[0] <= 150
 
 
 def test_toxicity_on_awkward_tables(spark):

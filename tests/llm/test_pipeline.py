@@ -78,3 +78,14 @@ def test_every_language_is_learnt_and_none_is_no_reason(spark):
     assert sorted(n for own in model.members.values() for n in own) == names
     docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "123", None, "s", 1), (3, None, None, "s", 1)], SCHEMA)
     assert [r.doc_id for r in P.language(spark, docs, "").collect()] == [1]
+
+
+def test_personal_data_of_other_tables(spark):
+    """Columns may be missing; null, empty and repeated rows stay."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "write to a@b.org"), (1, "write to a@b.org"), (None, None), (2, "")], "doc_id long, text string")
+    rows = P.personal_data(spark, docs, "").collect()
+    long = len("write to u" + "0" * 16 + "@pseudonym.invalid")
+    assert {(r.doc_id, r.n_chars) for r in rows} == {(None, None), (1, long), (2, 0)} and len(rows) == 4
+    assert rows[0].asDict().keys() == {"doc_id", "text", "n_chars"}
