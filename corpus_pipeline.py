@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import langid, packing, pii, similar, toxicity
-from lodestone.llm.common import cut, ensure_checkpoint_dir, read_table
-from lodestone.llm.queries import vocabulary_path
+from lodestone.llm.common import cut, ensure_checkpoint_dir, read_table, remove
+from lodestone.llm.queries import pii_key, vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,8 +55,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms; n_chars follows the text."""
-    done = pii.pseudonymised(_with_text(docs))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    docs = _with_text(docs)
+    done = pii.pseudonymised(docs, pii_key(spark))
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns, *[c for c in ("n_chars",) if c not in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +78,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is written to the shared folder."""
+    """The stages applied to documents; each result is written to the shared folder. What a
+    stage has read is removed once its own result is written."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
